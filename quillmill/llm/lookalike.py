@@ -43,6 +43,9 @@ UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0"
 _COMPAT = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
+_SAME_PRINT = regex.compile("LIGATURE|RADICAL|ROMAN NUMERAL")  # of the compatibility characters these print the same
+
+
 class Classes:
     """Union-find over strings; roots are kept by path halving."""
 
@@ -81,7 +84,7 @@ def relations(chars: Iterable[str], fold_case: bool = False) -> Iterator[tuple[s
             yield ch, " "
         else:
             kind, *codes = unicodedata.decomposition(ch).split() or [""]
-            if kind in _COMPAT or kind == "<compat>" and "LIGATURE" in unicodedata.name(ch, ""):
+            if kind in _COMPAT or kind == "<compat>" and _SAME_PRINT.search(unicodedata.name(ch, "")):
                 yield ch, "".join(chr(int(c, 16)) for c in codes)
         if fold_case and (low := ch.casefold()) != ch:
             yield ch, low
