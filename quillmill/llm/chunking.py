@@ -2,8 +2,8 @@
 
 An item longer than the limit is cut into atomic segments at every natural boundary: paragraph break, line break,
 sentence end, clause mark, blank. A segment that is itself too long (a run without any natural place) is cut at
-grapheme boundaries. All adjacent pairs are held in a heap keyed by the strength of the boundary between them, the
-combined size and the position; the weakest boundary is merged first while the combined size plus the overlap fits.
+grapheme boundaries. All adjacent pairs are held in a heap keyed by the strength of the boundary between them and
+by position; the weakest boundary is merged first, of equal ones the first, while the combined size plus the overlap fits.
 What is left are the pieces: boundaries that stay are the strongest that the limit allows.
 
 Each piece after the first begins with up to `overlap` code points repeated from the end of the one before, taken
@@ -80,22 +80,22 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     start = [0, *ends[:-1]]
     end = list(ends)
     nxt, prv, dead = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
-    heap = [(strong[i], end[i + 1] - start[i], i, end[i + 1]) for i in range(n - 1)]
+    heap = [(strong[i], i, end[i + 1]) for i in range(n - 1)]
     heapq.heapify(heap)
     while heap:
-        _, size, i, e = heapq.heappop(heap)
+        _, i, e = heapq.heappop(heap)
         j = nxt[i] if not dead[i] else n
-        if dead[i] or j >= n or end[j] != e or end[j] - start[i] != size:
+        if dead[i] or j >= n or end[j] != e:
             continue  # one of the two has changed since
-        if size > (limit if prv[i] < 0 else room):
+        if e - start[i] > (limit if prv[i] < 0 else room):
             continue
         strong[i], end[i], dead[j], nxt[i] = strong[j], end[j], True, nxt[j]
         if nxt[j] < n:
             prv[nxt[j]] = i
-            heapq.heappush(heap, (strong[i], end[nxt[i]] - start[i], i, end[nxt[i]]))
+            heapq.heappush(heap, (strong[i], i, end[nxt[i]]))
         if prv[i] >= 0:
             h = prv[i]
-            heapq.heappush(heap, (strong[h], end[i] - start[h], h, end[i]))
+            heapq.heappush(heap, (strong[h], h, end[i]))
     out: list[tuple[int, int, int, int]] = []
     i, before = 0, 6
     while i < n:

@@ -136,6 +136,11 @@ class Rewriter:
         self.known: dict[str, str] = {}
 
     def word(self, w: str) -> str:
+        """Composed before and after; once more, because what was rewritten may compose to a member of a class."""
+        once = self._rewritten(w)
+        return once if once == w else self._rewritten(once)
+
+    def _rewritten(self, w: str) -> str:
         w = w if w.isascii() else unicodedata.normalize("NFC", w)
         if not self.table:
             return w
@@ -144,7 +149,7 @@ class Rewriter:
             out += (w[at : end + 1 - n], to)
             at = end + 1
         out.append(w[at:])
-        return "".join(out)
+        return unicodedata.normalize("NFC", "".join(out)) if at else w
 
     def __call__(self, text: str | None) -> str | None:
         if text is None:

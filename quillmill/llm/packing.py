@@ -2,7 +2,7 @@
 
 Sizes are tokens of a public tokenizer (a .tiktoken file of ranks; its path is a parameter). Items are packed one after
 the other: each goes to the fill level h that minimises the sum over levels of the squared number of containers
-filled to that level, which for an item of size s changes by 2(N[h+s] - N[h]) + 2 (a full container leaves the count).
+filled to that level (see cost()); full containers leave the count.
 The counts are one array of `capacity` cells, so placing an item costs one pass over it whatever the number of containers.
 
 Items are spread over shards by a hash of their id, with SHARD_ITEMS items in each, so the shards, not the table,
@@ -111,6 +111,15 @@ def count_tokens(df: DataFrame, item: str, text: str, tokenizer: str = TOKENIZER
     return df.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("t")).mapInPandas(run, "item_id long, tokens long")
 
 
+def cost(n: np.ndarray, h: int, s: int, capacity: int) -> float:
+    """Change of the sum of squares when an item of size s goes to a container filled to h (0: a new one)."""
+    if h and not n[h]:
+        return float("inf")
+    leaves = 1 - 2 * int(n[h]) if h else 0
+    enters = 2 * int(n[h + s]) + 1 if h + s < capacity else 0
+    return leaves + enters
+
+
 class SumOfSquares:
     """The level array of one shard. level[h]: containers filled to h; ids: which, the latest first."""
 
@@ -125,10 +134,12 @@ class SumOfSquares:
         if s == c:
             self.made += 1
             return self.made - 1
-        cost = self.level[s:] - self.level[: c + 1 - s]  # N[h+s] - N[h], for h = 0 .. c-s
-        cost[0] = self.level[s]  # a new container leaves no level
-        cost[1:][self.level[1 : c + 1 - s] == 0] = np.iinfo(np.int64).max
-        cost[c - s] = -self.level[c - s] if self.level[c - s] else np.iinfo(np.int64).max  # a full one counts no more
+        n = self.level
+        cost = 2 * (n[s:] - n[: c + 1 - s]) + 2  # for fill levels h = 0 .. c-s
+        cost[1:][n[1 : c + 1 - s] == 0] = np.iinfo(np.int64).max
+        cost[0] = 2 * n[s] + 1
+        if n[c - s]:
+            cost[c - s] = 1 - 2 * n[c - s]
         # On ties the fullest level: it leaves the least room.
         h = c - s - int(np.argmin(cost[::-1]))
         if h:

@@ -39,7 +39,7 @@ _STRUCTURED = regex.compile(
     r"""\s*(?:
       \|.*\|? | .*\w\s*\|\s*\S.*                                   # table
     | \S*\w+://\S+ | \S+@\S+\.\w+ | www\.\S+                         # link
-    | [—–-]{1,2}\s*[\p{L}\p{M}.'’ -]{1,60}\s*[—–-]{0,2}              # signature between dashes
+    | [—–-]{1,2}\s*[\p{L}\p{M}.'’ -]{1,60}?\s*[—–-]{1,2} | [—–]\s*(?:[\p{Lu}\p{Lo}][\p{L}\p{M}.'’-]*\s*){1,3}   # signature after a dash
     | [\p{L}\p{M}.'’-]+(?:\s+[\p{L}\p{M}.'’-]+){0,2}\s*[,/]\s*(?:\d[\d./-]+|[\p{L}\p{M}.'’-]+(?:\s+[\p{L}\p{M}.'’-]+){0,2})   # name, date or name / name
     | [\[(]?\s*[\d\s.,:/-]+\s*[\])]?                                 # number
     | (?:[-*•·]\s+)?[\p{Lu}]{1,4}[-/]?\d[\d/-]*                      # code
