@@ -172,7 +172,10 @@ def forest(df: DataFrame, node: str, parent: str, locality: Column | None = None
         rest = c.where("kind is not null").select("top", F.col("to").alias("root"), "hops", "kind", "end")
         solved = solved.unionByName(rest)
     else:
-        solved = c.select("top", F.col("to").alias("root"), "hops", F.coalesce("kind", F.lit("cycle")).alias("kind"), F.coalesce("end", "low").alias("end"))
+        # What is open leads into cycles: where it has got to lies on one, and low has gone round it from there.
+        round_ = c.select(F.col("top").alias("to"), F.col("low").alias("cycle_low"))
+        into = c.where("kind is null").join(round_, "to").select("top", F.lit(None).cast("string").alias("root"), "hops", F.lit("cycle").alias("kind"), F.col("cycle_low").alias("end"))
+        solved = c.where("kind is not null").select("top", F.col("to").alias("root"), "hops", "kind", "end").unionByName(into)
     return local, solved
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillmill.runtime import blank_to_null, hadoop_fs
 
 IDENTITY = ("producer_request_id", "document_id", "document_version")
-BUCKETS = 64
+FOLDER = "quillmill_month"  # names the folders of partitions
 
 
 def canonical_uuid(col: Column) -> Column:
@@ -116,11 +116,13 @@ class MessageStore:
         both = new if old is None else old.select(*new.columns).unionByName(new)
         gen = f"{self.path}/gen-{uuid.uuid4().hex}"
         # Tasks of the aggregation write their share of each month: no month is gathered in one task.
-        winners(both, self.payload).withColumn("part", F.col("_part")).write.partitionBy("part").parquet(f"{gen}/rows")
-        entries = self.spark.read.parquet(f"{gen}/rows").select("_key", "_part")
+        won = winners(both, self.payload)
+        won.withColumn(FOLDER, F.col("_part")).write.partitionBy(FOLDER).parquet(f"{gen}/rows")
+        entries = self.spark.read.schema(won.schema).option("recursiveFileLookup", "true").parquet(f"{gen}/rows").select("_key", "_part")
         entries.write.parquet(f"{gen}/index")
         fs, p = hadoop_fs(self.spark, f"{gen}/rows")
-        made = {s.getPath().getName()[5:]: f"{gen}/rows/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().startswith("part=")}
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        made = {n.partition("=")[2]: f"{gen}/rows/{n}" for n in names if n.startswith(f"{FOLDER}=")}
         keep = {k: v for k, v in m.parts.items() if parts is None or k not in parts}
         done = Manifest(m.version + 1, keep | made, [*m.index, f"{gen}/index"] if made else m.index)
         self._commit(done)
@@ -129,7 +131,7 @@ class MessageStore:
 
 def dropped_rows(messages: DataFrame, store: MessageStore) -> DataFrame:
     """delivery_ids that lost to another copy of the same message."""
-    all_ids = messages.where(blank_to_null(F.col("producer_request_id")).isNotNull()).select("delivery_id").distinct()
+    all_ids = messages.where(blank_to_null(F.col("producer_request_id")).isNotNull() & F.col("delivery_id").isNotNull()).select("delivery_id").distinct()
     kept = store.rows()
     return all_ids if kept is None else all_ids.join(kept.select(F.col("_rank.i").alias("delivery_id")), "delivery_id", "left_anti")
 
