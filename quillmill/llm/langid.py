@@ -11,7 +11,7 @@ After training embedding and layer collapse to one row of scores for each word,
 model is a sum over words. Languages are decided by sentence; neighbouring sentences of one language make a segment.
 
 Defined results: null, empty and wordless texts have no segments; a text whose sentences are all rejected is judged as
-a whole, and if that is rejected too its language is 'und'; ties go to the language that is first in the alphabet.
+a whole, at half the threshold, and if that is rejected too its language is 'und'; ties go to the language that is first in the alphabet.
 """
 
 from __future__ import annotations
@@ -317,5 +317,5 @@ def label(ids, texts, scorer: Scorer, least_words: int) -> list[tuple]:
         p, n = scorer.probabilities([w for *_, w in whole])
         for (i, s, e, w), q in zip(whole, p):
             c = float(q.max())
-            out.append((i, 0, s, e, m.langs[int(q.argmax())] if c >= m.reject else "und", c))
+            out.append((i, 0, s, e, m.langs[int(q.argmax())] if c >= m.reject / 2 else "und", c))
     return out

@@ -89,7 +89,7 @@ def _abbreviation(text: str, start: int, dot: int, nxt: str, follow: str) -> boo
     token = _clean(raw)
     if not token:
         return False
-    upper, lower, digit = nxt.isupper(), nxt.islower(), nxt.isdigit()
+    upper, lower, digit = nxt.isupper() and not _capitals(text, start, dot), nxt.islower(), nxt.isdigit()
     if "@" in token or "://" in token:
         return lower or digit
     last = token.rsplit(".", 1)[-1]
@@ -180,7 +180,7 @@ def _ends(text: str, start: int, s: int, e: int) -> bool:
             k = _next_visible(text, at + 1)
             return k < n and not text[k].islower() and not closed
         return False
-    if closed and not nxt.isupper() and nxt.isalpha() and _opened_at_start(text, start, s, e):
+    if closed and nxt.isalpha() and (not nxt.isupper() or _capitals(text, start, s)) and _opened_at_start(text, start, s, e):
         return False
     if first == ".":
         if e - s > 1 and text[s:e].startswith(".."):
@@ -203,6 +203,12 @@ def _ends(text: str, start: int, s: int, e: int) -> bool:
     return gap or nxt.isalpha() or nxt.isdigit()
 
 
+def _capitals(text: str, start: int, end: int) -> bool:
+    """Written in capitals throughout, so that a capital says nothing."""
+    part = text[start:end]
+    return part.upper() == part and sum(c.isupper() for c in part) > 3
+
+
 def _caseless(c: str) -> bool:
     return unicodedata.category(c) in ("Lo", "Lm")
 

@@ -11,7 +11,7 @@ GOLD = [
     "“색인이 준비되었습니까?” 감사원이 물었다.| 요율이 9.9에서 올랐다.", "“好了吗？”审计员问道。|他写道：“文件已经结案。”|下一句。", "「できましたか。」と監査員が尋ねた。|次。",
     "«هل الفهرس جاهز؟» سأل المدقق.| وقع د. سمير على المحضر.| لجنة.", "“क्या तैयार है?” उसने पूछा।| दर 9.9 से बढ़ी।", "Ποιος ενέκρινε την αίτηση;| Το τμήμα.| Βλ. άρθ. 9, σελ. 9.| Τέλος.",
     "อัตราเพิ่มจาก 9.9 เป็น 9.9 เปอร์เซ็นต์| ใครอนุมัติคำขอ DM-96 ของสาขา| จบ", "The clerk replied: “It is closed.”| “Is it ready?” asked the man.| Yes.", "¿Está listo?, preguntó.| El Sr. Paz firmó ante la Dra. Sol.| Fin.",
-    "Одно.|Другое без пробела.|HS-1 код.", "No terminator at all", "One​.| Two.", "A line\n\n|Another block",
+    "MR. BROWN MET DR. GREEN AT 9 A.M. IN ROOM 25.| «ГОТОВ ЛИ?» — СПРОСИЛ ОН.| АКТЫ И Т. Д. ПЕРЕДАНЫ.| “IS IT READY?” ASKED THE MAN.| END.", "Одно.|Другое без пробела.|HS-1 код.", "No terminator at all", "One​.| Two.", "A line\n\n|Another block",
 ]
 
 
