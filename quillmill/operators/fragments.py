@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,32 +120,46 @@ class Splitter:
     # Units
 
     def units(self, rows: Iterable) -> Iterator[Unit]:
+        """rows: elements in order with their parts. Adds what depends on the order: headings above, list intros,
+        repeated table headers."""
         path: list[str] = []
         intro: str | None = None
         for r in rows:
-            t = (r.text or "").strip()
-            if r.kind == "HEADING" and t:
+            if r.error:
+                raise ValueError(r.error)
+            lead = r.lead or ""
+            if r.kind == "HEADING" and lead:
                 del path[max(1, int(r.level) if r.level == r.level and r.level else 1) - 1 :]
-                path.append(t)
-            page = None if r.page is None or r.page != r.page else int(r.page)
-            base = {"element": r.element, "kind": r.kind, "path": tuple(path), "page": page, "hint": r.hint, "role": r.role}
-            grid = getattr(r, "grid", None)
-            if r.kind == "TABLE" and grid is not None and len(grid):
-                yield from self.table_units([["" if c is None else str(c) for c in row] for row in grid], base)
-                intro = None
-                continue
-            if r.kind == "TABLE":
-                intro = None
-            if not t:
+                path.append(lead)
+            if r.parts is None or not len(r.parts):
+                intro = None if r.kind == "TABLE" else intro
                 continue
-            if r.kind == "PARAGRAPH" and t.endswith(":"):
-                intro = t
+            if r.kind == "PARAGRAPH" and lead:
+                intro = lead
             elif r.kind not in ("LIST", "LIST_ITEM"):
                 intro = None
-            context = intro if self.p.repeat_list_intro and intro and r.kind in ("LIST", "LIST_ITEM") else ""
-            yield from self.text_units(t, base, context)
-
-    def text_units(self, text: str, base: dict, context: str) -> list[Unit]:
+            listed = self.p.repeat_list_intro and intro and r.kind in ("LIST", "LIST_ITEM")
+            page = None if r.page is None or r.page != r.page else int(r.page)
+            for k, u in enumerate(r.parts):
+                context = intro if listed else ""
+                if u["row_from"] is not None and k and self.p.repeat_table_header:
+                    context = f"TABLE HEADER\n{lead}"
+                yield Unit(
+                    text=u["text"], element=r.element, kind=r.kind, path=tuple(path), page=page, hint=r.hint, role=r.role, sentences=u["sentences"], words=u["words"], reliable=u["reliable"],
+                    part=k, context=context, forced=u["forced"], rows=None if u["row_from"] is None else (u["row_from"], u["row_to"]),
+                )
+
+    def parts(self, kind: str, text: str | None, hint: str | None, grid) -> tuple[str | None, list[tuple]]:
+        """What an element alone decides: its lead (heading, list intro or table header) and its parts."""
+        if kind == "TABLE" and grid is not None and len(grid):
+            rows = ["\t".join("" if c is None else str(c) for c in row) for row in grid]
+            return rows[0], self.table_parts(rows)
+        t = (text or "").strip()
+        if not t:
+            return None, []
+        return t if kind == "HEADING" or kind == "PARAGRAPH" and t.endswith(":") else None, self.text_parts(t, hint)
+
+    def text_parts(self, text: str, hint: str | None) -> list[tuple]:
         """Sentences packed up to the hard limits; longer ones are cut between words."""
         p, chunks = self.p, []
         now: list[str] = []
@@ -157,7 +172,7 @@ class Splitter:
                 chunks.append((" ".join(now).strip(), len(now), False))
             now, chars, n_words, sure = [], 0, 0, True
 
-        for s in segment.sentences(text, base["hint"], p.sentence_boundary_backend) or [text]:
+        for s in segment.sentences(text, hint, p.sentence_boundary_backend) or [text]:
             w, ok = segment.words(s)
             if len(s) > p.hard_max_chars or ok and w > p.hard_max_words:
                 emit()
@@ -170,24 +185,18 @@ class Splitter:
             now.append(s)
             chars, n_words, sure = length, n_words + w, sure and ok
         emit()
-        out = []
-        for k, (c, n, forced) in enumerate(chunks):
-            w, ok = segment.words(c)
-            out.append(Unit(text=c, sentences=n, words=w, reliable=ok, part=k, context=context, forced=forced or len(chunks) > 1, **base))
-        return out
+        return [(c, n, *segment.words(c), forced or len(chunks) > 1, None, None) for c, n, forced in chunks]
 
-    def table_units(self, grid: list[list[str]], base: dict) -> list[Unit]:
+    def table_parts(self, rows: list[str]) -> list[tuple]:
+        """Rows packed up to the hard limits; a row that is too long is cut between words."""
         p = self.p
-        rows = ["\t".join(r) for r in grid]
-        out: list[Unit] = []
+        out: list[tuple] = []
         held: list[str] = []
         first = chars = n_words = 0
         sure = True
 
         def add(text: str, a: int, z: int, forced: bool) -> None:
-            w, ok = segment.words(text)
-            again = f"TABLE HEADER\n{rows[0]}" if out and p.repeat_table_header else ""
-            out.append(Unit(text=text, words=w, reliable=ok, part=len(out), context=again, forced=forced or bool(out), rows=(a, z), **base))
+            out.append((text, 0, *segment.words(text), forced or bool(out), a, z))
 
         for i, r in enumerate(rows):
             w, ok = segment.words(r)
@@ -353,15 +362,48 @@ FRAGMENTS = (
 )
 
 
-def fragments(elements: DataFrame, profile: Profile | None = None, fingerprint: str = "", normalizer: tuple[str, str] = ("1", "normalization-multilingual-v1")) -> DataFrame:
-    """elements: document_id, document_version, source_element_id, element_type, order_index, normalized_text,
-    heading_level, geometry, language_hint, element_role, suppressed_from_index; identical copies count once."""
-    p = profile or Profile()
+PARTS = (
+    "document_id string, document_version long, element string, kind string, order_index int, level int, page int, hint string, role string, lead string, error string, "
+    "parts array<struct<text:string,sentences:int,words:int,reliable:boolean,forced:boolean,row_from:int,row_to:int>>"
+)
+_PART_FIELDS = ("text", "sentences", "words", "reliable", "forced", "row_from", "row_to")
+
+
+def element_parts(elements: DataFrame, p: Profile, grid: str | None = None) -> DataFrame:
+    """PARTS: segmentation and counting, the costly share, for each element where it lies. No shuffle, so a document with
+    a third of all rows is spread over the tasks; the fold after it only adds up sizes."""
+    cells = F.lit(None).cast("array<array<string>>") if grid is None else F.col(grid)
     x = elements.where("not coalesce(suppressed_from_index, false)").select(
-        "document_id", "document_version", F.col("source_element_id").alias("element"), F.col("element_type").alias("kind"), "order_index", F.col("normalized_text").alias("text"),
-        F.col("heading_level").alias("level"), F.col("geometry.page_number").alias("page"), F.col("language_hint").alias("hint"), F.col("element_role").alias("role"),
+        "document_id", "document_version", F.col("source_element_id").alias("element"), F.col("element_type").alias("kind"), F.col("order_index").cast("int").alias("order_index"), F.col("heading_level").cast("int").alias("level"),
+        F.col("geometry.page_number").cast("int").alias("page"), F.col("language_hint").alias("hint"), F.col("element_role").alias("role"), F.col("normalized_text").alias("text"), cells.alias("grid"),
     )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = Splitter(p)
+        for b in batches:
+            leads, errors, parts = [], [], []
+            for kind, text, hint, g in zip(b["kind"], b["text"], b["hint"], b["grid"]):
+                lead, got, error = None, [], None
+                try:
+                    lead, got = s.parts(kind, text, hint, g)
+                except ValueError as e:
+                    error = str(e)
+                leads.append(lead)
+                errors.append(error)
+                parts.append([dict(zip(_PART_FIELDS, u)) for u in got])
+            out = b.drop(columns=["text", "grid"]).assign(lead=leads, error=errors, parts=parts)
+            yield out.astype({"level": "Int32", "page": "Int32"})[[f.split(" ")[0] for f in PARTS.split(", ")]]
+
+    return x.mapInPandas(run, PARTS)
+
+
+def fragments(elements: DataFrame, profile: Profile | None = None, fingerprint: str = "", normalizer: tuple[str, str] = ("1", "normalization-multilingual-v1"), grid: str | None = None) -> DataFrame:
+    """elements: document_id, document_version, source_element_id, element_type, order_index, normalized_text,
+    heading_level, geometry, language_hint, element_role, suppressed_from_index; identical copies count once. grid: a
+    column with the cells of tables. A document with an element that can't be split gives an error row."""
+    p = profile or Profile()
+    x = element_parts(elements, p, grid)
+
     def fold(key: tuple, rows: Iterator) -> Iterator[tuple]:
         s = Splitter(p)
 

@@ -88,3 +88,22 @@ def page_mode(chars: Column, words: Column, images: Column, image_ratio: Column,
         .when((chars <= low) & (words == 0) & (images == 0), "EMPTY")
         .otherwise("LOW_SIGNAL")
     )
+
+
+def page_elements(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """words as above; pages: doc, page, width, height. Lines in reading order with kind, role, locator and geometry.
+
+    Headings found by type size are all of level 1; the median size is that of the page's lines."""
+    ln = lines(words).join(pages.select("doc", "page", "width", "height"), ["doc", "page"])
+    median = ln.where("font_size > 0").groupBy("doc", "page").agg(F.median("font_size").alias("median"))
+    x = reading_order(ln, F.col("width")).join(median, ["doc", "page"], "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    kind = line_kind(F.col("text"), F.col("font_size"), F.col("bold"), F.col("median"))
+    box = F.struct(
+        F.col("page").cast("int").alias("page_number"), "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), F.col("width").alias("page_width"), F.col("height").alias("page_height"),
+        F.lit("pdf-points-top-left").alias("coordinate_space"),
+    )
+    locator = F.concat(F.lit("page:"), F.col("page").cast("string"), F.lit(":line:"), F.col("reading_index").cast("string"))
+    return x.select(
+        "doc", "page", "reading_index", kind.alias("element_type"), "text", F.when(kind == "HEADING", 1).alias("heading_level"),
+        furniture_role(F.col("text"), F.col("top"), F.col("bottom"), F.col("height")).alias("element_role"), locator.alias("locator"), box.alias("geometry"),
+    )

@@ -97,6 +97,16 @@ def page_modes(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc", "page", layout.page_mode(F.col("chars"), F.col("words"), F.col("images"), F.col("ratio")).alias("mode"))
 
 
+def page_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Words at even steps along each element's box stand for the words of a page; they come out as lines again."""
+    x = _lines(spark, sf).where("text <> ''")
+    w = x.select("*", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "word"), F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
+    step = (F.col("x1") - F.col("x0")) / F.col("n")
+    w = w.select("doc", "page", F.col("word").alias("text"), (F.col("x0") + step * F.col("i")).alias("x0"), (F.col("x0") + step * (F.col("i") + 1)).alias("x1"), "top", "bottom", F.lit(10.0).alias("size"), F.lit("Regular").alias("fontname"))
+    pages = x.groupBy("doc", "page").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    return layout.page_elements(w, pages).select("doc", "page", "reading_index", "element_type", "text", "element_role", "locator")
+
+
 # Recognised text
 
 
@@ -289,7 +299,7 @@ def hint_against_script(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        documents_acquired, object_uris, content_hashes_normalised, duplicate_contents, txt_elements, parsed_elements, reading_order, line_kinds, page_modes, recognised_not_native, recognised_first_wins,
+        documents_acquired, object_uris, content_hashes_normalised, duplicate_contents, txt_elements, parsed_elements, reading_order, line_kinds, page_modes, page_elements, recognised_not_native, recognised_first_wins,
         recognised_merged_order, normalize_text, page_furniture, normalization_totals, sentences, word_counts, script_languages, document_fragments, logical_blocks, block_tree_errors, delivery_batches, block_sizes,
         batches_by_size, final_content_hash, batch_content_hash, identities, artifact_parts, latest_request, next_requests, blocks_without_element, documents_never_requested, request_violations, links_in_texts,
         hint_against_script,

@@ -47,10 +47,12 @@ def test_profile_is_checked():
         fragments.Profile(min_chars=0)
 
 
-def test_table_rows_with_header_again():
-    s = fragments.Splitter(P)
-    us = s.table_units([["h1", "h2"], *[[f"row{i}", "v" * 20] for i in range(5)]], {"element": "e", "kind": "TABLE", "path": (), "page": None, "hint": None, "role": None})
-    assert us[0].context == "" and us[1].context == "TABLE HEADER\nh1\th2" and [u.rows for u in us] == [(0, 2), (3, 5)]
+def test_table_rows_with_header_again(spark):
+    grid = [["h1", "h2"], *[[f"row{i}", "v" * 20] for i in range(5)]]
+    x = spark.createDataFrame([("d", 1, "e0", "TABLE", 0, None, None, None, None, None, False, grid)], ELEMENT + ", grid array<array<string>>")
+    r = fragments.fragments(x, P, grid="grid").orderBy("sequence").collect()
+    assert [a.context_prefix for a in r] == ["", "TABLE HEADER\nh1\th2"] and [(a.table_row_from, a.table_row_to) for a in r] == [(0, 2), (3, 5)]
+    assert {a.fragment_type for a in r} == {"TABLE"}
 
 
 def test_fold_streams_in_order(spark):
