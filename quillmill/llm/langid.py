@@ -11,11 +11,12 @@ After training embedding and layer collapse to one row of scores for each word,
 model is a sum over words. Languages are decided by sentence; neighbouring sentences of one language make a segment.
 
 Defined results: null, empty and wordless texts have no segments; a text whose sentences are all rejected is judged as
-a whole, at half the threshold, and if that is rejected too its language is 'und'; ties go to the language that is first in the alphabet.
+a whole, and if that is rejected too its language is 'und'; ties go to the language that is first in the alphabet.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,13 +50,16 @@ BY_NAME = {n: k for k, v in NAMES.items() for n in [k, *v.split()]}
 
 #: Runs that are words: letters with their marks; scripts without blanks are cut to single characters by subwords().
 _WORD = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}’'’-]*")
-_CODE = regex.compile(r"\S+@\S+|\w+://\S+|\p{L}{1,3}[-/_]?\d[\d/._-]*|[\d.,/]+")
+_CODE = re.compile(r"(?:\b[^\W\d_]{1,3}[-/_]?)?\d[\d/.,_-]*")
+_ADDRESS = re.compile(r"\S+@\S+|\w+://\S+")
+_MIXED = re.compile(r"[\d@]|://")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 #: Words that go with the number of a page.
 _PAGE_WORDS = set(
     "page pages pg p pp of sur from s seite seiten von blatt bl лист листа листов из стр страница с бет беті sayfa sf pág pag página hoja folio f σελ σελίδα "
     "από หน้า ที่ จาก 第 页 頁 頁中 共 쪽 면 페이지 पृष्ठ पृ का से صفحة ص من сторінка стор арк аркуш з n no № nr de do da".split()
 )
+_PARTS = re.compile("[-’']")
 _ROMAN = regex.compile(r"[ivxlcdm]+")
 
 
@@ -88,13 +92,14 @@ def subwords(word: str) -> list[int]:
 
 def words(text: str) -> list[str]:
     """Lower-case words without codes, addresses and numbers; long runs of dense scripts are cut to eight characters."""
-    if not any(c.isdigit() for c in text) and "@" not in text and "://" not in text:
-        got = _WORD.findall(text.lower())
-    else:
-        dense = _DENSE.search(text)
-        got = _WORD.findall((text if dense else _CODE.sub(" ", text)).lower())
-    if any(len(w) > 24 for w in got):
-        got = [w[i : i + 8] for w in got for i in range(0, len(w), 8)] if _DENSE.search(text) else got
+    low = text.lower()
+    if (mixed := _MIXED.search(low)) and not _DENSE.search(low):
+        if not mixed[0].isdigit() or "@" in low or "://" in low:
+            low = _ADDRESS.sub(" ", low)
+        low = _CODE.sub(" ", low)
+    got = _WORD.findall(low)
+    if got and max(map(len, got)) > 24 and _DENSE.search(low):
+        got = [w[i : i + 8] for w in got for i in range(0, len(w), 8)]
     return got
 
 
@@ -250,14 +255,14 @@ def train(labelled: DataFrame, key: str, text: str, hint: str, sample: int = SAM
 
 def wordless(text: str) -> bool:
     """Bare numbers, codes and lines that only number a page."""
-    t = text.strip().lower()
+    t = text.strip()
     if len(t) >= 40:
         return False
-    got = _WORD.findall(t)
-    if len(got) <= 3 and (any(c.isdigit() for c in t) or any(_ROMAN.fullmatch(w) for w in got)):
-        # A word may stand next to its number: '9-бет', 'xiv-бет'.
-        rest = [x for w in got for x in regex.split("[-’']", w) if x and x not in _PAGE_WORDS and not _ROMAN.fullmatch(x)]
-        return not rest or not words(t)
+    t = t.lower()
+    # A word may stand next to its number: '9-бет', 'xiv-бет'.
+    got = [x for w in _WORD.findall(t) for x in _PARTS.split(w) if x]
+    if len(got) <= 4 and (any(c.isdigit() for c in t) or any(_ROMAN.fullmatch(x) for x in got)):
+        return all(x in _PAGE_WORDS or _ROMAN.fullmatch(x) for x in got) or not words(t)
     return not words(t)
 
 
@@ -317,5 +322,5 @@ def label(ids, texts, scorer: Scorer, least_words: int) -> list[tuple]:
         p, n = scorer.probabilities([w for *_, w in whole])
         for (i, s, e, w), q in zip(whole, p):
             c = float(q.max())
-            out.append((i, 0, s, e, m.langs[int(q.argmax())] if c >= m.reject / 2 else "und", c))
+            out.append((i, 0, s, e, m.langs[int(q.argmax())] if c >= m.reject else "und", c))
     return out
