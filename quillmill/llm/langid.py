@@ -90,6 +90,11 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BINS for g in grams]
 
 
+def evidence(word: str) -> float:
+    """Words that a run counts for where a number of words is asked for: of scripts without blanks, two characters make one."""
+    return max(1.0, len(_DENSE.findall(word)) / 2)
+
+
 def words(text: str) -> list[str]:
     """Lower-case words without codes, addresses and numbers; long runs of dense scripts are cut to eight characters."""
     low = text.lower()
@@ -116,39 +121,39 @@ class Model:
 
 
 class Scorer:
-    """Sums of score rows by word, remembered."""
+    """Sums of score rows by word, remembered. The last two columns are the word's n-grams and its evidence."""
 
     def __init__(self, m: Model):
         self.m = m
         self.slot: dict[str, int] = {}
-        self.rows = np.zeros((4096, len(m.langs) + 1), dtype=np.float32)
+        self.rows = np.zeros((4096, len(m.langs) + 2), dtype=np.float32)
 
     def _slot(self, w: str) -> int:
         n = len(self.slot)
         if n >= len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         ids = subwords(w)
-        self.rows[n, :-1] = self.m.table[ids].sum(0)
-        self.rows[n, -1] = len(ids)
+        self.rows[n, :-2] = self.m.table[ids].sum(0)
+        self.rows[n, -2:] = len(ids), evidence(w)
         self.slot[w] = n
         return n
 
     def probabilities(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text, given as words: languages, and how many words it has."""
+        """Of each text, given as words: languages, and how many words it counts for (see evidence())."""
         if len(self.slot) > CACHED_WORDS:
             self.slot.clear()
         known, slot = self.slot, self._slot
         flat = [known[w] if w in known else slot(w) for ws in texts for w in ws]
         count = np.array([len(ws) for ws in texts], dtype=np.int64)
-        out = np.zeros((len(texts), len(self.m.langs)))
+        out, weight = np.zeros((len(texts), len(self.m.langs))), np.zeros(len(texts))
         some = np.flatnonzero(count)
         if len(some):
             starts = np.concatenate(([0], np.cumsum(count[some])[:-1]))
             s = np.add.reduceat(self.rows[np.array(flat, dtype=np.int64)], starts, axis=0)
-            z = (s[:, :-1] / s[:, -1:] + self.m.bias) / self.m.temperature
+            z = (s[:, :-2] / s[:, -2:-1] + self.m.bias) / self.m.temperature
             e = np.exp(z - z.max(1, keepdims=True))
-            out[some] = e / e.sum(1, keepdims=True)
-        return out, count
+            out[some], weight[some] = e / e.sum(1, keepdims=True), s[:, -1]
+        return out, weight
 
 
 def _batches(n: int, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:

@@ -65,3 +65,18 @@ def test_without_labels(spark):
     m = L.train(x, "k", "t", "h")
     assert [r.lang for r in L.segments(x, "k", "t", "h", m).collect()] == ["und"]
     assert L.segments(x.where("false"), "k", "t", "h", m).count() == 0
+
+
+@pytest.mark.parametrize(("word", "want"), [("register", 1), ("审计", 1), ("审计小组逐行比较两个版本", 6), ("受付窓口は", 2.5), ("реестр", 1)])
+def test_evidence_of_scripts_without_blanks(word, want):
+    assert L.evidence(word) == want
+
+
+def test_short_dense_sentences_make_a_second_language():
+    r = random.Random(3)
+    zh = ["审计小组逐行比较两个版本。", "收件窗口标出缺少的附件。", "登记小组保存已签字的原件。", "档案室检查收到的文件。"]
+    texts = [(say(r, "ru"), "ru") if i % 2 else (r.choice(zh), "zh") for i in range(400)]
+    m = L.fit([L.words(t) for t, _ in texts], [lang for _, lang in texts])
+    ru = "Реестр хранит подписанные оригиналы перед ночным запуском."
+    got = L.label(["1", "2"], [f"{ru} {zh[0]} {zh[1]}", f"{ru} 审计。"], m.scorer(), 3)
+    assert [x[:5] for x in got] == [("1", 0, 0, len(ru), "ru"), ("1", 1, len(ru) + 1, len(ru) + 2 + len(zh[0]) + len(zh[1]), "zh"), ("2", 0, 0, len(ru) + 4, "ru")]
