@@ -5,7 +5,9 @@ first and last lines of scanned elements) are folded to a key in which character
 equal, and a key counts as a title if page edges of one document repeat it on two pages or a heading gives it. Page
 numbers are number lines, or number parts of such lines. Words are compared with the vocabulary of the whole corpus: a
 word is misread if undoing one or two confusions gives a word at least RATIO times as frequent, and a hyphen at a line
-end is removed unless the vocabulary holds the word with its hyphen and not without.
+end is removed unless the vocabulary holds the word with its hyphen and not without. Confusions are the listed ones and
+those the corpus shows: one or two characters for one or two others, where that explains PAIR_WORDS words of scanned text
+by words RATIO times as frequent, and in text that wasn't scanned at most a fifth as many (confusions()).
 
 The vocabulary sent to the tasks has only words with a share of at least SHARE of all tokens, so it has at most 1 / SHARE
 entries whatever the corpus; rarer words need no entry, since what they are compared with is frequent.
@@ -30,6 +32,8 @@ from quillmill.runtime import written
 SHARE = 2.5e-6
 LEAST = 5
 RATIO = 15
+PAIR_WORDS = 3
+KEPT = 3  # characters that a word and the one it was misread from must share for a confusion to be learned from them
 CACHED_WORDS = 300_000
 TOP, BOTTOM, FIRST = 0.08, 0.92, 0.15
 NOISE = "id string, noise_kind string"
@@ -39,6 +43,7 @@ MISREAD = (
     ("d", "cl"), ("m", "rn"), ("rn", "m"), ("ri", "n"), ("u", "ii"), ("w", "vv"), ("n", "u"), ("u", "n"), ("b", "6"), ("b", "8"), ("z", "2"), ("a", "4"), ("q", "9"), ("li", "h"), ("in", "m"), ("ni", "m"),
     ("е", "с"), ("с", "е"), ("т", "г"), ("г", "т"), ("л", "п"), ("п", "л"), ("н", "п"), ("п", "н"), ("и", "н"), ("н", "и"), ("ы", "ьі"), ("ы", "ьi"), ("м", "лі"), ("м", "лi"), ("в", "й"), ("з", "3"), ("ш", "щ"),
     ("щ", "ш"), ("ц", "д"), ("д", "ц"), ("б", "6"), ("ч", "4"), ("о", "о̂"), ("ь", "ъ"), ("ю", "іо"), ("ж", "лс"), ("в", "8"), ("э", "з"),
+    ("ж", "зк"), ("қ", "к,"), ("ң", "н,"),
 )
 #: Words that go with the number of a page.
 PAGE_WORDS = "page|pages|pg|pp?|of|sur|seiten?|von|blatt|s|лист|из|стр|страница|с|бет|беті|sayfa|pág|página|de|folio|σελ|από|หน้า|第|页|頁|쪽|पृष्ठ|पृ|صفحة|ص|من|сторінка|арк|з|n|no|№"
@@ -108,42 +113,83 @@ def token(raw: str) -> str:
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """word, n over all rows; each task sends its partial sums."""
+    """word, n over all rows, scanned: n in scanned elements; each task sends its partial sums."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw: Counter[str] = Counter()
+        raw: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def flush() -> pd.DataFrame:
-            out: Counter[str] = Counter()
-            for k, n in raw.items():
-                if w := token(k):
-                    out[w] += n
-            raw.clear()
-            return pd.DataFrame({"word": list(out), "n": list(out.values())})
+            out: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for own, seen in zip(raw, out):
+                for k, n in own.items():
+                    if w := token(k):
+                        seen[w] += n
+                own.clear()
+            got = [(w, n, n * k) for k, seen in enumerate(out) for w, n in seen.items()]
+            return pd.DataFrame(got, columns=["word", "n", "scanned"])
 
         for b in batches:
-            for t in b["t"]:
-                raw.update(rejoin(t).split())
-            if len(raw) > CACHED_WORDS:
+            for t, scanned in zip(b["t"], b["scanned"]):
+                raw[bool(scanned)].update(rejoin(t).split())
+            if len(raw[0]) + len(raw[1]) > CACHED_WORDS:
                 yield flush()
         yield flush()
 
-    x = df.select(F.col(text).alias("t")).where("t is not null")
-    return x.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    x = df.select(F.col(text).alias("t"), F.coalesce(F.col("element_role") == "OCR_TEXT", F.lit(False)).alias("scanned")).where("t is not null")
+    return x.mapInPandas(run, "word string, n long, scanned long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
 
 
-def vocabulary(df: DataFrame, text: str) -> dict[str, int]:
-    """Words with at least SHARE of all tokens (and LEAST occurrences): at most 1 / SHARE of them."""
+def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], tuple[tuple[str, str], ...]]:
+    """Words with at least SHARE of all tokens (and LEAST occurrences): at most 1 / SHARE of them. And the confusions."""
     counts = written(word_counts(df, text), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r.word: r.n for r in counts.where(F.col("n") >= max(LEAST, int(total * SHARE))).collect()}
+    bar = max(LEAST, int(total * SHARE))
+    vocab = {r.word: r.n for r in counts.where(F.col("n") >= bar).collect()}
+    return vocab, MISREAD + confusions(counts, vocab)
+
+
+def gaps(word: str) -> list[tuple[str, str]]:
+    """The word with one or two neighbouring characters taken out, the place marked, and what was taken out."""
+    return [(f"{word[:i]}\0{word[i + n :]}", word[i : i + n]) for n in (1, 2) if len(word) >= n + KEPT for i in range(len(word) - n + 1)]
+
+
+def confusions(counts: DataFrame, vocab: dict[str, int]) -> tuple[tuple[str, str], ...]:
+    """Unlisted pairs of what is read instead of what, as the corpus shows them: words that no listed confusion explains
+    are joined to frequent ones that differ in one place. Chance pairs turn up in all text alike, confusions only where it
+    was scanned."""
+    sent = counts.sparkSession.sparkContext.broadcast(vocab)
+
+    def unexplained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(sent.value)
+        for b in batches:
+            yield b[[not words.intended(w) for w in b["word"]]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, w, n, s, g) for w, n, s in zip(b["word"], b["n"], b["scanned"]) for k, g in gaps(w)]
+            yield pd.DataFrame(rows, columns=["key", "word", "n", "scanned", "part"])
+
+    schema = "key string, word string, n long, scanned long, part string"
+    often = counts.where(F.col("n") >= max(RATIO, min(vocab.values(), default=RATIO))).mapInPandas(run, schema).select("key", F.col("n").alias("most"), F.col("part").alias("whole"))
+    x = counts.mapInPandas(unexplained, counts.schema).mapInPandas(run, schema).join(often, "key").where(F.col("most") >= RATIO * F.col("n"))
+    x = x.where("left(part, 1) <> left(whole, 1) and right(part, 1) <> right(whole, 1) and whole rlike '^[\\\\p{L}\\\\p{M}]+$'")
+    x = x.groupBy("whole", "part", "word").agg(F.max(F.col("scanned") >= 0.75 * F.col("n")).alias("scan")).groupBy("whole", "part")
+    x = x.agg(F.count_if("scan").alias("yes"), F.count_if(~F.col("scan")).alias("no")).where((F.col("yes") >= PAIR_WORDS) & (F.col("yes") >= 5 * F.col("no")))
+    listed = {(whole, r) for whole, read in MISREAD for r in (read, read.rstrip(","))}  # a last letter's comma isn't in the word
+    return tuple(sorted(p for r in x.collect() if (p := (r.whole, r.part)) not in listed))
+
+
+def comma_read(raw: str) -> bool:
+    """Whether a comma follows a last letter that may have been read with it."""
+    core = _TRIM.sub("", raw)
+    return core[-1:].lower() in ("к", "н") and raw[raw.find(core) + len(core) :][:1] == ","
 
 
 class Words:
     """Verdicts on words, remembered."""
 
-    def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
+    def __init__(self, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD):
+        self.vocab, self.pairs = vocab, pairs
         self.known: dict[str, str] = {}
 
     def intended(self, raw: str) -> str:
@@ -152,14 +198,23 @@ class Words:
         if got is None:
             if len(self.known) > CACHED_WORDS:
                 self.known.clear()
-            got = self.known[raw] = self._intended(token(raw))
+            w = token(raw)
+            got = self.known[raw] = self.with_comma(raw) or self._intended(w, w)
         return got
 
-    def _intended(self, w: str) -> str:
+    def with_comma(self, raw: str) -> str:
+        """The word of a token whose comma is a part of its last letter; empty if there is none."""
+        if not comma_read(raw):
+            return ""
+        w = token(raw)
+        return self._intended(f"{w},", w)
+
+    def _intended(self, w: str, seen: str) -> str:
+        """seen: the word as the vocabulary would have it."""
         if len(w) < 3 or not any(c.isalpha() for c in w):
             return ""
-        own = self.vocab.get(w, 0)
-        at = [(i, read, whole) for whole, read in MISREAD for i in range(len(w)) if w.startswith(read, i)]
+        own = self.vocab.get(seen, 0)
+        at = [(i, read, whole) for whole, read in self.pairs for i in range(len(w)) if w.startswith(read, i)]
         best, freq = "", 0
         for k in (1, 2):
             for pick in itertools.combinations(at, k):
@@ -224,12 +279,12 @@ def furniture(df: DataFrame) -> DataFrame:
     return x.where("head or again").select("id", "line").distinct()
 
 
-def local_noise(df: DataFrame, vocab: dict[str, int]) -> DataFrame:
+def local_noise(df: DataFrame, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD) -> DataFrame:
     """NOISE without running titles: what an element alone and the vocabulary show."""
-    sent = df.sparkSession.sparkContext.broadcast(vocab)
+    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(sent.value)
+        words = Words(*sent.value)
         for b in batches:
             rows = []
             for i, kind, scanned, rel, t in zip(b["id"], b["element_type"], b["scanned"], b["rel"], b["t"]):
@@ -251,9 +306,9 @@ def local_noise(df: DataFrame, vocab: dict[str, int]) -> DataFrame:
 
 def noise(df: DataFrame) -> DataFrame:
     """NOISE: one row for each element and kind."""
-    vocab = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
+    vocab, pairs = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
     running = furniture(df).select("id", F.lit("running_header").alias("noise_kind"))
-    return local_noise(df, vocab).unionByName(running).distinct()
+    return local_noise(df, vocab, pairs).unionByName(running).distinct()
 
 
 PARAGRAPHS = "id string, paragraph string, dehyphenations int, corrections int, furniture_lines int"
@@ -261,12 +316,12 @@ PARAGRAPHS = "id string, paragraph string, dehyphenations int, corrections int,
 
 def paragraphs(df: DataFrame) -> DataFrame:
     """PARAGRAPHS: the text of every element without furniture, with words corrected, rejoined and lines joined."""
-    vocab = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
-    sent = df.sparkSession.sparkContext.broadcast(vocab)
+    vocab, pairs = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
+    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs))
     drop = furniture(df).groupBy("id").agg(F.collect_set("line").alias("drop"))  # at most three lines of an element
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(sent.value)
+        words = Words(*sent.value)
         for b in batches:
             rows = [
                 (i, *repaired(t, kind, scanned, None if pd.isna(rel) else rel, () if d is None else d, words))
@@ -301,7 +356,8 @@ def repaired(t: str, kind: str, scanned: bool, rel: float | None, drop, words: W
         if v:
             fixed += 1
             core = _TRIM.sub("", w)
+            read = f"{core}," if words.with_comma(w) else core
             v = v.upper() if core.isupper() and len(core) > 1 else v[0].upper() + v[1:] if core[0].isupper() else v
-            w = w.replace(core, v, 1)
+            w = w.replace(read, v, 1)
         out.append(w)
     return " ".join(out), joins, fixed, len(gone)

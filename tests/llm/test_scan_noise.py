@@ -53,3 +53,26 @@ def test_paragraphs(spark):
 def test_empty(spark):
     assert N.noise(table(spark).where("false")).count() == 0
     assert N.paragraphs(table(spark).where("false")).count() == 0
+
+
+KAZAKH = {w: 500 for w in "инженер бақылау сақтайды кезеңі беттің сақтайтын".split()}
+
+
+@pytest.mark.parametrize(("raw", "want"), [("инзкенер", "инженер"), ("бак,ылау", "бақылау"), ("Сак,тайды.", "сақтайды"), ("кезен,і", "кезеңі"), ("беттін,", "беттің"), ("сақтайтын,", ""), ("бақылау,", "")])
+def test_letters_read_as_two_characters(raw, want):
+    assert N.Words(KAZAKH).intended(raw) == want
+
+
+def test_comma_of_a_letter_goes_with_it():
+    assert N.repaired("Беттін, бак,ылау, сақтайтын, беттің,", "PARAGRAPH", True, None, (), N.Words(KAZAKH))[0] == "Беттің бақылау, сақтайтын, беттің,"
+
+
+def test_unlisted_confusions(spark):
+    """'ķ' for 'h' is in no list. It is learned from four scanned words; 'x' for 't' also stands in other text."""
+    frequent = "register originals keeps signed harbour hangar shelter holiday tables stones".split()
+    rows = [(" ".join(frequent), None)] * 40 + [("ķarbour and ķangar sķelter ķoliday xables", "OCR_TEXT"), ("sxones xables regisxer", None), ("ķolidays", "OCR_TEXT"), ("stoncs tablcs hangarcs", "OCR_TEXT"), ("stone table hangare " * 40, None)]
+    x = spark.createDataFrame([(str(i), "d", 1, "PARAGRAPH", r, None, t, "q", 1) for i, (t, r) in enumerate(rows)], SCHEMA)
+    vocab, pairs = N.vocabulary(x, "original_text")
+    assert set(pairs) - set(N.MISREAD) == {("h", "ķ")}
+    assert {tuple(r) for r in N.noise(x).collect()} == {("40", "misread"), ("43", "misread")}
+    assert N.Words(vocab, pairs).intended("ķangar") == "hangar" and N.Words(vocab).intended("ķangar") == ""
