@@ -190,6 +190,7 @@ class Words:
 
     def __init__(self, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD):
         self.vocab, self.pairs = vocab, pairs
+        self.longest = max(map(len, vocab), default=0)
         self.known: dict[str, str] = {}
 
     def intended(self, raw: str) -> str:
@@ -216,6 +217,8 @@ class Words:
         own = self.vocab.get(seen, 0)
         at = [(i, read, whole) for whole, read in self.pairs for i in range(len(w)) if w.startswith(read, i)]
         best, freq = "", 0
+        if len(w) > self.longest + 2:  # undoing a confusion takes at most one character away
+            return ""
         for k in (1, 2):
             for pick in itertools.combinations(at, k):
                 pick = sorted(pick)
@@ -227,7 +230,7 @@ class Words:
                 n = self.vocab.get(v, 0)
                 if n > freq and n >= RATIO * max(own, 1 if n >= RATIO else 0) and n >= LEAST:
                     best, freq = v, n
-            if best or len(at) > 12:
+            if best:
                 break
         return best
 

@@ -76,3 +76,9 @@ def test_unlisted_confusions(spark):
     assert set(pairs) - set(N.MISREAD) == {("h", "ķ")}
     assert {tuple(r) for r in N.noise(x).collect()} == {("40", "misread"), ("43", "misread")}
     assert N.Words(vocab, pairs).intended("ķangar") == "hangar" and N.Words(vocab).intended("ķangar") == ""
+
+
+def test_two_confusions_of_a_long_word():
+    words = N.Words({"identification": 500, "telecommunication": 500})
+    assert words.intended("idcntificafion") == "identification" and words.intended("fclecommunication") == "telecommunication"
+    assert words.intended("il" * 50_000) == ""
