@@ -10,7 +10,8 @@ those the corpus shows: one or two characters for one or two others, where that
 by words RATIO times as frequent, and in text that wasn't scanned at most a fifth as many (confusions()).
 
 The vocabulary sent to the tasks has only words with a share of at least SHARE of all tokens, so it has at most 1 / SHARE
-entries whatever the corpus; rarer words need no entry, since what they are compared with is frequent.
+entries whatever the corpus; of rarer words only those are sent whose own count decides (see vocabulary()). Misreadings of
+words below the share aren't found.
 
 Defined results: null and empty texts have no noise and an empty paragraph text; headings are never furniture; code and
 tables are left as they are; a line that is furniture as a whole is removed, one line element of furniture becomes empty.
@@ -139,13 +140,24 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return x.mapInPandas(run, "word string, n long, scanned long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("scanned").alias("scanned"))
 
 
-def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], tuple[tuple[str, str], ...]]:
-    """Words with at least SHARE of all tokens (and LEAST occurrences): at most 1 / SHARE of them. And the confusions."""
+def vocabulary(df: DataFrame, text: str) -> tuple[dict[str, int], tuple[tuple[str, str], ...], dict[str, int]]:
+    """Words with at least SHARE of all tokens (and LEAST occurrences): at most 1 / SHARE of them. The confusions. And the
+    counts of rarer words that look misread but are too frequent for some word of the vocabulary to be RATIO times as
+    frequent: at most RATIO / SHARE of them, since every other word is below a RATIO-th of each word of the vocabulary."""
     counts = written(word_counts(df, text), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     bar = max(LEAST, int(total * SHARE))
     vocab = {r.word: r.n for r in counts.where(F.col("n") >= bar).collect()}
-    return vocab, MISREAD + confusions(counts, vocab)
+    pairs = MISREAD + confusions(counts, vocab)
+    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs))
+
+    def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(*sent.value)
+        for b in batches:
+            yield b[[bool(words.intended(w) or words.with_comma(f"{w},")) for w in b["word"]]]
+
+    rare = counts.where((F.col("n") < bar) & (F.col("n") * RATIO > bar)).mapInPandas(doubtful, counts.schema)
+    return vocab, pairs, {r.word: r.n for r in rare.select("word", "n").collect()}
 
 
 def gaps(word: str) -> list[tuple[str, str]]:
@@ -188,8 +200,8 @@ def comma_read(raw: str) -> bool:
 class Words:
     """Verdicts on words, remembered."""
 
-    def __init__(self, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD):
-        self.vocab, self.pairs = vocab, pairs
+    def __init__(self, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD, rare: dict[str, int] | None = None):
+        self.vocab, self.pairs, self.rare = vocab, pairs, rare or {}
         self.longest = max(map(len, vocab), default=0)
         self.known: dict[str, str] = {}
 
@@ -214,7 +226,7 @@ class Words:
         """seen: the word as the vocabulary would have it."""
         if len(w) < 3 or not any(c.isalpha() for c in w):
             return ""
-        own = self.vocab.get(seen, 0)
+        own = self.vocab.get(seen) or self.rare.get(seen, 0)
         at = [(i, read, whole) for whole, read in self.pairs for i in range(len(w)) if w.startswith(read, i)]
         best, freq = "", 0
         if len(w) > self.longest + 2:  # undoing a confusion takes at most one character away
@@ -228,7 +240,7 @@ class Words:
                 for i, read, whole in reversed(pick):
                     v = v[:i] + whole + v[i + len(read) :]
                 n = self.vocab.get(v, 0)
-                if n > freq and n >= RATIO * max(own, 1 if n >= RATIO else 0) and n >= LEAST:
+                if n > freq and n >= RATIO * own and n >= LEAST:
                     best, freq = v, n
             if best:
                 break
@@ -282,9 +294,9 @@ def furniture(df: DataFrame) -> DataFrame:
     return x.where("head or again").select("id", "line").distinct()
 
 
-def local_noise(df: DataFrame, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD) -> DataFrame:
+def local_noise(df: DataFrame, vocab: dict[str, int], pairs: tuple[tuple[str, str], ...] = MISREAD, rare: dict[str, int] | None = None) -> DataFrame:
     """NOISE without running titles: what an element alone and the vocabulary show."""
-    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs))
+    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs, rare))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(*sent.value)
@@ -309,9 +321,9 @@ def local_noise(df: DataFrame, vocab: dict[str, int], pairs: tuple[tuple[str, st
 
 def noise(df: DataFrame) -> DataFrame:
     """NOISE: one row for each element and kind."""
-    vocab, pairs = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
+    found = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
     running = furniture(df).select("id", F.lit("running_header").alias("noise_kind"))
-    return local_noise(df, vocab, pairs).unionByName(running).distinct()
+    return local_noise(df, *found).unionByName(running).distinct()
 
 
 PARAGRAPHS = "id string, paragraph string, dehyphenations int, corrections int, furniture_lines int"
@@ -319,8 +331,8 @@ PARAGRAPHS = "id string, paragraph string, dehyphenations int, corrections int,
 
 def paragraphs(df: DataFrame) -> DataFrame:
     """PARAGRAPHS: the text of every element without furniture, with words corrected, rejoined and lines joined."""
-    vocab, pairs = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
-    sent = df.sparkSession.sparkContext.broadcast((vocab, pairs))
+    found = vocabulary(df.where(~F.col("element_type").isin("CODE_BLOCK", "TABLE")), "original_text")
+    sent = df.sparkSession.sparkContext.broadcast(found)
     drop = furniture(df).groupBy("id").agg(F.collect_set("line").alias("drop"))  # at most three lines of an element
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

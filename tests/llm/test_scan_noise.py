@@ -72,7 +72,7 @@ def test_unlisted_confusions(spark):
     frequent = "register originals keeps signed harbour hangar shelter holiday tables stones".split()
     rows = [(" ".join(frequent), None)] * 40 + [("ķarbour and ķangar sķelter ķoliday xables", "OCR_TEXT"), ("sxones xables regisxer", None), ("ķolidays", "OCR_TEXT"), ("stoncs tablcs hangarcs", "OCR_TEXT"), ("stone table hangare " * 40, None)]
     x = spark.createDataFrame([(str(i), "d", 1, "PARAGRAPH", r, None, t, "q", 1) for i, (t, r) in enumerate(rows)], SCHEMA)
-    vocab, pairs = N.vocabulary(x, "original_text")
+    vocab, pairs, _ = N.vocabulary(x, "original_text")
     assert set(pairs) - set(N.MISREAD) == {("h", "ķ")}
     assert {tuple(r) for r in N.noise(x).collect()} == {("40", "misread"), ("43", "misread")}
     assert N.Words(vocab, pairs).intended("ķangar") == "hangar" and N.Words(vocab).intended("ķangar") == ""
@@ -82,3 +82,11 @@ def test_two_confusions_of_a_long_word():
     words = N.Words({"identification": 500, "telecommunication": 500})
     assert words.intended("idcntificafion") == "identification" and words.intended("fclecommunication") == "telecommunication"
     assert words.intended("il" * 50_000) == ""
+
+
+def test_rare_words_keep_their_own_count(spark):
+    """'тордал' four times beside 'торцал' twelve times is a word of its own; 'rcgister' once beside 40 'register' isn't."""
+    rows = [("register", None)] * 40 + [("торцал", None)] * 12 + [("тордал", None)] * 3 + [("тордал", "OCR_TEXT"), ("rcgister", "OCR_TEXT")]
+    x = spark.createDataFrame([(str(i), "d", 1, "PARAGRAPH", r, None, t, "q", 1) for i, (t, r) in enumerate(rows)], SCHEMA)
+    assert N.vocabulary(x, "original_text")[2]["тордал"] == 4
+    assert {tuple(r) for r in N.noise(x).collect()} == {("56", "misread")}
