@@ -154,3 +154,12 @@ def test_links(spark):
     urls = {"https://u:p@h/x": "LINK_USERINFO", "https://h/?a=1&token=x": "LINK_SECRET_PARAMETER", "https://h/?my_secret=1": "LINK_SECRET_PARAMETER", "https://h/?a=Bearer%20x": "LINK_BEARER_VALUE", "https://h/a?b=c": None}
     x = spark.createDataFrame([(u,) for u in urls], "u string").select("u", checks.link_credentials(F.col("u")).alias("e"))
     assert {r.u: r.e for r in x.collect()} == urls
+
+
+def test_tree_errors_of_blocks_that_share_an_id(spark, tmp_path):
+    from quillmill.plans import pipeline
+
+    rows = [("r", "d", 1, None, "DOCUMENT", 0), ("a", "d", 1, "r", "PARAGRAPH", 1), ("a", "d", 1, "r", "PARAGRAPH", 2), ("a", "d", 1, "r", "PARAGRAPH", 2), (None, "d", 1, "r", "PARAGRAPH", 3), (None, "d", 1, "r", "PARAGRAPH", 4)]
+    spark.createDataFrame(rows, "block_id string, document_id string, document_version long, parent_block_id string, block_type string, order_index int").write.parquet(f"{tmp_path}/logical_block.parquet")
+    got = {(r.error_code, r.n) for r in pipeline.block_tree_errors(spark, str(tmp_path)).collect()}
+    assert {x for x in got if x[0].startswith("BLOCK_ID")} >= {("BLOCK_ID_BLANK", 2)} and any(x[0] == "BLOCK_ID_DUPLICATE" for x in got)
