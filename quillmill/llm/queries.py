@@ -123,7 +123,7 @@ def _cuts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _cuts(spark, sf).where("cut").select(F.col("id").alias("doc_id")).distinct()
+    return truncation.cut_inside(_cuts(spark, sf)).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
