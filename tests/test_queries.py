@@ -56,6 +56,15 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+@pytest.mark.parametrize("missing", ["ahocorasick", "tiktoken", "quillmill.llm"])
+def test_core_survives_a_missing_package(missing):
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'p6_found' in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_core_does_without_the_text_subpackage():
     import pathlib
 
