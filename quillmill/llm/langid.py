@@ -3,8 +3,9 @@
 A text is the mean of the embeddings of its subwords (character n-grams of each word with its ends marked, hashed to
 BINS rows); a linear layer and a softmax give the languages. Embeddings and layer are trained together by stochastic
 gradient descent in numpy, on about SAMPLE_ROWS labelled rows (a documented bound: rows are taken by the hash of
-their id over the whole table, the same number of each language). Labels are noisy, so after a first training the rows whose label the model finds
-unlikely are left out and it is trained again. On held-out rows a temperature is fitted and, at PRECISION, the
+their id over the whole table, about the same number of each language, and of each row TRAIN_WORDS words, at a place
+anywhere in the text that its hash gives). One task of an executor trains; only the model reaches the driver. Labels are noisy, so after a
+first training the rows whose label the model finds unlikely are left out and it is trained again. On held-out rows a temperature is fitted and, at PRECISION, the
 confidence below which an answer is rejected as 'und'.
 
 After training embedding and layer collapse to one row of scores for each word, which a task remembers, so applying the
@@ -16,6 +17,7 @@ a whole, and if that is rejected too its language is 'und'; ties go to the langu
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,13 +34,13 @@ from quillmill.llm import sentences
 BINS = 1 << 16
 DIM = 16
 SAMPLE_ROWS = 11_200  # the same number for each language the hints name
-TRAIN_WORDS = 40  # of each sampled row
+TRAIN_WORDS = 40  # of each sampled row, at a place anywhere in its text
 EPOCHS = 10
 BATCH = 128
 RATE = 0.1
 PRECISION = 0.995
 CACHED_WORDS = 150_000
-SEGMENTS = "id string, segment int, start int, end int, lang string, confidence double"
+SEGMENTS = "id string, segment int, start int, end int, lang string, confidence double, hint string"
 
 #: ISO 639 codes of two and three letters and English names of the languages that can be told apart.
 NAMES = {
@@ -242,20 +244,48 @@ def _sgd(feats: list[np.ndarray], y: np.ndarray, k: int, seed: int, epochs: int
     return emb @ w, bias
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """Of each language the share of its labelled rows that is sampled: an equal number of each, or all."""
+    return {k: min(1.0, sample / len(counts) / n) for k, n in counts.items()}
+
+
+def sampled(key: Column, lang: Column, share: dict[str, float]) -> Column:
+    """Whether a row is in the sample: its hash, as a number in [0, 1), is below the share of its language."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 62)).cast("double") / float(1 << 62)
+    return place < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[lang]
+
+
+def drawn(text: str, most: int = TRAIN_WORDS) -> list[str]:
+    """Words of a text to train on: all, or `most` neighbouring ones, which are more likely of one language, at a place
+    that the hash of the text gives."""
+    ws = words(text)
+    if len(ws) <= most:
+        return ws
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(ws) - most + 1)
+    return ws[at : at + most]
+
+
 def train(labelled: DataFrame, key: str, text: str, hint: str, sample: int = SAMPLE_ROWS) -> Model:
-    """labelled: rows whose hint may name a language. About `sample` of them reach the driver, as many of each language
-    as there are up to an equal share, chosen over the whole table by the hash of the key."""
-    x = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), hint_column(F.col(hint)).alias("lang")).where("t is not null and lang is not null")
+    """labelled: rows whose hint may name a language. About `sample` of them, as many of each language as there are up to
+    an equal share, chosen over the whole table by the hash of the key, train the model in one task. The share is a double
+    over 62 bits of hash, so the sample keeps its size whatever the number of rows; copies of a row count once."""
+    x = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), hint_column(F.col(hint)).alias("lang")).where("lang is not null")
     count = {r["lang"]: r["count"] for r in x.groupBy("lang").count().collect()}  # at most one row for each name known
+    none = Model(["und"], np.zeros((BINS, 1), np.float32), np.zeros(1, np.float32))
     if not count:
-        return Model(["und"], np.zeros((BINS, 1), np.float32), np.zeros(1, np.float32))
-    share = F.create_map(*[y for k, n in count.items() for y in (F.lit(k), F.lit(int(min(1.0, sample / len(count) / n) * 1_000_000)))])
-    x = x.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share[F.col("lang")])
-    pdf = x.select("k", "t", "lang").limit(2 * sample).toPandas().sort_values("k", kind="stable")
-    ws = [words(t)[:TRAIN_WORDS] for t in pdf["t"]]
-    keep = [i for i, w in enumerate(ws) if w]
-    langs = pdf["lang"].tolist()
-    return fit([ws[i] for i in keep], [langs[i] for i in keep])
+        return none
+    x = x.where(sampled(F.col("k"), F.col("lang"), shares(count, sample))).where("t is not null").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["k", "t", "lang"])]).sort_values(["k", "t", "lang"], kind="stable")
+        ws = [drawn(t) for t in pdf["t"]]
+        keep = [i for i, w in enumerate(ws) if w]
+        langs = pdf["lang"].tolist()
+        if keep:
+            yield pd.DataFrame({"model": [pickle.dumps(fit([ws[i] for i in keep], [langs[i] for i in keep]))]})
+
+    got = x.repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else none
 
 
 def wordless(text: str) -> bool:
@@ -272,7 +302,7 @@ def wordless(text: str) -> bool:
 
 
 def segments(df: DataFrame, key: str, text: str, hint: str | None, model: Model, least_words: int = 3) -> DataFrame:
-    """SEGMENTS of every text that has words. The hint only chooses sentence rules; it doesn't sway the language."""
+    """SEGMENTS of every text that has words. The hint is carried along as the code it names; it doesn't sway the language."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,9 +310,13 @@ def segments(df: DataFrame, key: str, text: str, hint: str | None, model: Model,
         for b in batches:
             for lo in range(0, len(b), 2000):
                 part = b.iloc[lo : lo + 2000]
-                yield pd.DataFrame(label(part["id"], part["t"], scorer, least_words), columns=["id", "segment", "start", "end", "lang", "confidence"])
+                rows = label(range(len(part)), part["t"], scorer, least_words)
+                out = pd.DataFrame(rows, columns=["id", "segment", "start", "end", "lang", "confidence"])
+                at = out["id"].to_numpy(dtype=np.int64)
+                yield out.assign(id=part["id"].to_numpy(dtype=object)[at], hint=part["hint"].to_numpy(dtype=object)[at])
 
-    x = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where(F.length(F.trim("t")) > 0)
+    named = F.lit(None).cast("string") if hint is None else hint_column(F.col(hint))
+    x = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t"), named.alias("hint")).where(F.length(F.trim("t")) > 0)
     return x.mapInPandas(run, SEGMENTS)
 
 

@@ -20,13 +20,11 @@ def _elements(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 def _language_segments(spark: SparkSession, sf: str) -> DataFrame:
     x = _elements(spark, sf, "element_type", "normalized_text", "language_hint").where(~F.col("element_type").isin(*WITHOUT_LANGUAGE))
     model = langid.train(x, "source_element_id", "normalized_text", "language_hint")
-    return langid.segments(x, "source_element_id", "normalized_text", None, model)
+    return langid.segments(x, "source_element_id", "normalized_text", "language_hint", model)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    hints = _elements(spark, sf, "language_hint").select(F.col("source_element_id").alias("id"), langid.hint_column(F.col("language_hint")).alias("named"))
-    langs = _language_segments(spark, sf).where("lang <> 'und'").groupBy("id").agg(F.collect_set("lang").alias("langs"))  # at most 16
-    x = langs.join(hints.groupBy("id").agg(F.max("named").alias("named")), "id")
+    x = _language_segments(spark, sf).where("lang <> 'und'").groupBy("id").agg(F.collect_set("lang").alias("langs"), F.max("hint").alias("named"))  # at most 16
     x = x.where((F.size("langs") > 1) | F.col("named").isNull() | ~F.array_contains("langs", F.coalesce("named", F.lit(""))))
     return x.select(F.col("id").alias("source_element_id"), F.explode("langs").alias("lang"))
 

@@ -80,3 +80,40 @@ def test_short_dense_sentences_make_a_second_language():
     ru = "Реестр хранит подписанные оригиналы перед ночным запуском."
     got = L.label(["1", "2"], [f"{ru} {zh[0]} {zh[1]}", f"{ru} 审计。"], m.scorer(), 3)
     assert [x[:5] for x in got] == [("1", 0, 0, len(ru), "ru"), ("1", 1, len(ru) + 1, len(ru) + 2 + len(zh[0]) + len(zh[1]), "zh"), ("2", 0, 0, len(ru) + 4, "ru")]
+
+
+@pytest.mark.parametrize("rows", [100, 10**6, 10**9, 10**12])
+def test_the_sample_keeps_its_size(spark, rows):
+    """The share of a simulated count, applied to the hashes of as many keys as give 500 expected rows."""
+    from pyspark.sql import functions as F
+
+    share = L.shares({"en": rows, "de": 10}, 1400)
+    assert share["de"] == 1.0 and share["en"] * min(rows, 700 / share["en"]) == pytest.approx(min(rows, 700))
+    # Hashes below the share, as a fraction of the keys, for a share as small as the one for a million rows.
+    if rows == 10**6:
+        n = spark.range(10**6).where(L.sampled(F.col("id").cast("string"), F.lit("en"), share)).count()
+        assert 600 < n < 800
+    # The threshold is told apart from zero and from its neighbours in 62 bits of hash.
+    assert int(share["en"] * (1 << 62)) > 1 << 30
+
+
+def test_training_words_come_from_anywhere_in_the_text():
+    ws = [f"{a}{b}{c}" for a in "abcd" for b in "efghi" for c in "jklmno"]
+    starts = []
+    for k in range(200):
+        got = L.drawn(" ".join([*ws[k % 7 :], *ws[: k % 7], f"x{k}".translate(str.maketrans("0123456789", "abcdefghij"))]))
+        assert len(got) == L.TRAIN_WORDS
+        starts.append(got[0])
+    assert len(set(starts)) > 40
+    assert L.drawn("one two") == ["one", "two"] and L.drawn("") == []
+
+
+def test_train_on_a_table(spark):
+    r = random.Random(3)
+    rows = [(str(i), say(r, lang := r.choice(list(LEX))), lang) for i in range(600)]
+    rows += [rows[0], ("x", None, "en"), (None, say(r, "en"), "en"), ("y", " ", "en"), ("z", say(r, "de"), None)]
+    x = spark.createDataFrame(rows, "k string, t string, lang string")
+    m = L.train(x, "k", "t", "lang")
+    p, _ = m.scorer().probabilities([L.words(say(r, k)) for k in m.langs])
+    assert sorted(m.langs) == sorted(LEX) and list(p.argmax(1)) == [0, 1, 2, 3]
+    assert L.train(x.where("false"), "k", "t", "lang").langs == ["und"] and L.train(x.where("k = 'x'"), "k", "t", "lang").langs == ["und"]
