@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quillmill.llm import leakage as L
 
@@ -22,7 +23,7 @@ def brute(docs, items, n):
 def test_index_finds_all_occurrences():
     r = np.random.default_rng(0)
     t = r.integers(1, 5, 3000)
-    index = L.FMIndex(t)
+    index = L.FMIndex.of(t)
     pat = np.array([t[i : i + 6] for i in range(0, 2900, 37)] + [[4, 4, 4, 4, 4, 9]])
     lo, hi = index.search(pat)
     for p, a, b in zip(pat, lo, hi):
@@ -30,6 +31,29 @@ def test_index_finds_all_occurrences():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+@pytest.mark.parametrize("kind", ["random", "periodic", "equal"])
+def test_suffix_array(kind):
+    r = np.random.default_rng(1)
+    t = {"random": r.integers(1, 4, 700), "periodic": np.tile([1, 2, 3, 1, 2], 100), "equal": np.ones(300, dtype=int)}[kind]
+    t = np.append(t, 0)
+    assert L.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_an_index_serves_other_items(spark):
+    """Small shards, a text longer than a shard, copies; the second set of items is searched in the written index."""
+    r = random.Random(6)
+    docs = [(d, " ".join(r.choice(WORDS[:6]) for _ in range(r.randrange(1, 50)))) for d in range(60)] + [(100, " ".join(WORDS * 10)), (101, " ".join(WORDS * 10)), (None, " ".join(WORDS))]
+    x = spark.createDataFrame(docs, "doc_id long, text string")
+    index = L.build(x, shard_symbols=100).cache()
+    assert index.count() > 10
+    for seed in (1, 2):
+        r = random.Random(seed)
+        items = [(k, " ".join(r.choice(WORDS[:6]) for _ in range(9))) for k in range(40)] + [(77, " ".join(WORDS[3:20]))]
+        y = spark.createDataFrame(items, "item_id long, item_text string")
+        got = {(a.doc_id, a.item_id) for a in L.search(index, y, 4, block_chars=300).collect()}
+        assert got == brute(docs, items, 4) and {(100, 77), (101, 77), (None, 77)} <= got
+
+
 def test_against_brute_force(spark):
     r = random.Random(5)
     items = [(k, " ".join(r.choice(WORDS) for _ in range(r.randrange(3, 40)))) for k in range(30)]
