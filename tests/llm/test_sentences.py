@@ -11,7 +11,11 @@ GOLD = [
     "“색인이 준비되었습니까?” 감사원이 물었다.| 요율이 9.9에서 올랐다.", "“好了吗？”审计员问道。|他写道：“文件已经结案。”|下一句。", "「できましたか。」と監査員が尋ねた。|次。",
     "«هل الفهرس جاهز؟» سأل المدقق.| وقع د. سمير على المحضر.| لجنة.", "“क्या तैयार है?” उसने पूछा।| दर 9.9 से बढ़ी।", "Ποιος ενέκρινε την αίτηση;| Το τμήμα.| Βλ. άρθ. 9, σελ. 9.| Τέλος.",
     "อัตราเพิ่มจาก 9.9 เป็น 9.9 เปอร์เซ็นต์| ใครอนุมัติคำขอ DM-96 ของสาขา| จบ", "The clerk replied: “It is closed.”| “Is it ready?” asked the man.| Yes.", "¿Está listo?, preguntó.| El Sr. Paz firmó ante la Dra. Sol.| Fin.",
-    "MR. BROWN MET DR. GREEN AT 9 A.M. IN ROOM 25.| «ГОТОВ ЛИ?» — СПРОСИЛ ОН.| АКТЫ И Т. Д. ПЕРЕДАНЫ.| “IS IT READY?” ASKED THE MAN.| END.", "Одно.|Другое без пробела.|HS-1 код.", "No terminator at all", "One​.| Two.", "A line\n\n|Another block",
+    "MR. BROWN MET DR. GREEN AT 9 A.M. IN ROOM 25.| «ГОТОВ ЛИ?» — СПРОСИЛ ОН.| АКТЫ И Т. Д. ПЕРЕДАНЫ.| “IS IT READY?” ASKED THE MAN.| END.", "Одно.|Другое без пробела.|HS-1 код.",
+    "He works in sales at col.| The team won.", "The answer is no.| 5 people left.| See no. 5 and annex no. 7 on p. 3.", "It weighs 5 m.| The next one is bigger.", "The gap is 25 mm.| The next is 3.", "It took 24 hr.| The rest waited.",
+    "Mme Blanc et M. Roux ont signé.| Le mur fait 5 m.| Il tombe.", "Er kam mit Hr. Meier und wog 5 kg.| Der Rest blieb.", "El Sr. Paz y la Sra. Sol.| Véase pág. 5 y p.ej. Madrid.", "Он весит 5 т.| Она легче.| Инж. Ли подписал.",
+    "Voir art. 3709 al. 2928 de l’annexe, p. 285.| Bon.", "Bu av. Demir ve dr. Kaya için.| Bkz. md. 5.",
+    "No terminator at all", "One​.| Two.", "A line\n\n|Another block",
 ]
 
 
@@ -32,6 +36,20 @@ def test_units_cover_the_text(text):
     assert all(a < b for a, b in sp) and sp == sorted(sp)
 
 
+@pytest.mark.parametrize(("part", "want"), [("Das ist der", ("de",)), ("The", ("en",)), ("Құжат", ("kk",)), ("Актът", ("ru",)), ("Її", ("uk",)), ("Акт", ("ru", "uk", "kk")), ("Το", ("el",)), ("Xyz", ("en", "de", "fr", "es", "pt", "tr"))])
+def test_languages(part, want):
+    token = {"К": "т", "А": "т", "Қ": "т", "Ї": "т", "Τ": "κ"}.get(part[0], "x")
+    assert S.languages(f"{part} {token}.", 0, len(part) + 1, len(part) + 2) == want
+
+
+def test_every_terminator_is_known():
+    """Of all scripts: a terminator between two letters of a script without case ends a sentence."""
+    import regex
+
+    every = [chr(c) for c in range(0x80, 0x20000) if regex.match(r"\p{SB=STerm}", chr(c))]
+    assert len(every) > 100 and all(S.boundaries(f"क{c} क") == [2] for c in every if c not in ";")
+
+
 def test_frames(spark):
     x = spark.createDataFrame([("1", "One two. Three four.", "e"), ("1", "One two. Three four.", "e"), ("2", None, "e"), ("3", " ", "e"), (None, "One two. Three four.", "e")], "k string, text string, boundary string")
     got = {(r.id, r.boundary) for r in S.boundary_rows(x, "k", "text").collect()}
