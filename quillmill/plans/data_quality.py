@@ -31,8 +31,9 @@ def p3_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     return loose if kept is None else kept.select(*MESSAGE_COLUMNS).unionByName(loose)
 
 
-def _locality():
-    return F.concat_ws("\x1f", "document_id", F.floor(F.col("order_index") / ORDER_CHUNK).cast("string"))
+def _locality() -> list:
+    """Stretches of a document's elements, and stretches of these."""
+    return [F.concat_ws("\x1f", "document_id", F.floor(F.col("order_index") / n).cast("string")) for n in (ORDER_CHUNK, 16 * ORDER_CHUNK)]
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
