@@ -104,7 +104,3 @@ def script_languages(c: Column) -> Column:
     found = F.array_compact(F.array(F.when(kk, "kk").when(cyr, "ru"), F.when(lat, "en")))
     return F.when(F.size(found) == 0, F.array(F.lit("und"))).otherwise(found)
 
-
-def distinct_hints(hints: Column) -> Column:
-    """Primary subtags of language hints in order of appearance."""
-    return F.array_distinct(F.transform(F.filter(hints, lambda h: h.isNotNull() & (h != "")), lambda h: F.split(F.lower(h), "-")[0]))

@@ -10,16 +10,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import ids
 from quillmill.operators.folding import ordered_fold
-from quillmill.runtime import hadoop_fs
+from quillmill.runtime import hadoop_fs, written
 
 SCHEMA_VERSION = "quillmill-prepared-v1"
 MAX_RECORDS = 10_000
 MAX_BYTES = 32 << 20
+BUCKETS, FOLDERS = 4096, 256
 PARTS = "document_id string, document_version long, kind string, part int, record_count long, byte_count long, sha256 string, body string"
 
 
@@ -55,11 +56,6 @@ def parts(records: DataFrame, max_records: int = MAX_RECORDS, max_bytes: int = M
     return ordered_fold(records, ["document_id", "document_version", "kind"], ["pos", "record"], fold, PARTS, emit=1)
 
 
-def part_index(size: Column, running_before: Column, max_records: int) -> Column:
-    """Native where only the count cuts: the part of a record by its position from 0."""
-    return F.floor(running_before / max_records).cast("int")
-
-
 def artifact_id(manifest: DataFrame) -> DataFrame:
     """document_id, document_version, artifact_id: over the digests of the parts in order; parts of a document are few."""
     one = F.sort_array(F.collect_list(F.struct("kind", "part", "sha256")))
@@ -68,24 +64,40 @@ def artifact_id(manifest: DataFrame) -> DataFrame:
     return g.select("document_id", "document_version", F.sha2(F.concat_ws("\n", F.lit(SCHEMA_VERSION), "document_id", F.col("document_version").cast("string"), joined), 256).alias("artifact_id"))
 
 
+def manifest_digest(manifest: DataFrame) -> str:
+    """Over all entries, in a tree: of each of BUCKETS buckets first, then over the digests of the buckets."""
+    entry = F.concat_ws(":", "artifact_id", "kind", F.col("part").cast("string"), "sha256")
+    leaf = manifest.select(F.pmod(F.xxhash64("artifact_id"), F.lit(BUCKETS)).alias("b"), entry.alias("e"))
+    leaf = leaf.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("e")), "\n"), 256).alias("d"))
+    top = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: F.concat_ws(":", x["b"].cast("string"), x["d"])), "\n")
+    return leaf.agg(F.sha2(top, 256)).first()[0]
+
+
 def publish(p: DataFrame, root: str) -> str:
-    """Writes the parts, then the manifest; its folder is named by its own digest. Returns its path."""
+    """Writes the parts in FOLDERS folders, then the manifest; the target is named by the digest of the manifest, so equal
+    artifacts are put once and others never overwrite them. What a publication that died has left is written anew. Returns
+    the path."""
     spark = p.sparkSession
-    manifest = p.drop("body").join(artifact_id(p), ["document_id", "document_version"])
-    digest = manifest.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "artifact_id", "kind", F.col("part").cast("string"), "sha256"))), "\n"), 256)).first()[0]
-    target = f"{root.rstrip('/')}/{digest}"
+    p = written(p, "parts")
+    manifest = written(p.drop("body").join(artifact_id(p), ["document_id", "document_version"]), "manifest")
+    target = f"{root.rstrip('/')}/{manifest_digest(manifest)}"
     fs, done = hadoop_fs(spark, f"{target}/manifest/_SUCCESS")
-    if not fs.exists(done):
-        p.write.mode("overwrite").partitionBy("document_id").parquet(f"{target}/parts")
+    if put_decision(fs.exists(done), True) == "WRITE":
+        p.withColumn("folder", F.pmod(F.xxhash64("document_id"), F.lit(FOLDERS))).write.mode("overwrite").partitionBy("folder").parquet(f"{target}/parts")
         manifest.write.mode("overwrite").parquet(f"{target}/manifest")
     return target
 
 
+def verify(spark: SparkSession, target: str) -> bool:
+    """Whether the manifest is the one its path names."""
+    return manifest_digest(spark.read.parquet(f"{target}/manifest")) == target.rstrip("/").rpartition("/")[2]
+
+
 def load(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
     """(records, errors): lines of the parts whose digest, bytes and count are those of the manifest; other parts with
     an error code."""
     man = spark.read.parquet(f"{target}/manifest").withColumnsRenamed({c: f"m_{c}" for c in ("record_count", "byte_count", "sha256")}).drop("artifact_id")
-    got = spark.read.parquet(f"{target}/parts").withColumn("document_id", F.col("document_id").cast("string"))
+    got = spark.read.parquet(f"{target}/parts")
     keys = ["document_id", "document_version", "kind", "part"]
     x = man.join(got.select(*keys, "body"), keys, "left")
     code = (
@@ -100,8 +112,9 @@ def load(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
     return lines, x.where("error_code is not null").select(*keys, "error_code")
 
 
-def put_decision(existing: Column, new: Column) -> Column:
-    return F.when(existing.isNull(), "WRITE").when(existing == new, "UNCHANGED").otherwise("CONFLICT")
+def put_decision(exists: bool, same: bool) -> str:
+    """What putting an immutable object comes to: written where nothing is, unchanged where the same is, else a conflict."""
+    return "WRITE" if not exists else "UNCHANGED" if same else "CONFLICT"
 
 
 def totals(manifest: DataFrame) -> DataFrame:

@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of query parameters and attributes that hold secrets, and endings of such names.
-SECRET = "access_token|api_key|apikey|auth|authorization|credential|credentials|key|passwd|password|private_key|pwd|secret|sig|signature|token|x-amz-credential|x-amz-security-token|x-amz-signature"
-SECRET_ENDINGS = "_token|_secret|_password|_api_key"
+#: Names of query parameters and attributes that hold secrets (hyphens and dots read as underscores), and endings
+#: of such names.
+SECRET_NAMES = (
+    "access_token", "api_key", "apikey", "auth", "authorization", "bearer", "client_secret", "credential", "credentials", "password", "passwd", "secret", "signature", "token",
+    "x_api_key", "x_amz_credential", "x_amz_security_token", "x_amz_signature",
+)
+SECRET_ENDINGS = ("_token", "_secret", "_password", "_api_key")
 UINT32, UINT64 = 2**32 - 1, 2**64 - 1
 
 
+def secret_name(name: Column) -> Column:
+    n = F.translate(F.lower(F.trim(name)), "-.", "__")
+    out = n.isin(*SECRET_NAMES)
+    for e in SECRET_ENDINGS:
+        out = out | F.endswith(n, F.lit(e))
+    return out
+
+
+def bearer_value(value: Column) -> Column:
+    return F.startswith(F.lower(F.ltrim(value)), F.lit("bearer "))
+
+
 def link_credentials(url: Column) -> Column:
     """Why a link isn't safe to store: user info, a secret parameter, a bearer value; null if it is."""
     info = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)@", 1)
-    query = F.lower(F.regexp_extract(url, r"\?([^#]*)", 1))
-    secret = query.rlike(rf"(^|&)({SECRET})=") | query.rlike(rf"(^|&)[^=&]*({SECRET_ENDINGS})=")
-    bearer = query.rlike(r"=bearer(%20|\+| )")
+    pairs = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    secret = F.exists(pairs, lambda x: F.contains(x, F.lit("=")) & secret_name(plain(F.substring_index(x, "=", 1))))
+    bearer = F.exists(pairs, lambda x: F.contains(x, F.lit("=")) & bearer_value(plain(F.regexp_extract(x, "=(.*)$", 1))))
     return F.when(info != "", "LINK_USERINFO").when(secret, "LINK_SECRET_PARAMETER").when(bearer, "LINK_BEARER_VALUE")
 
 
 def in_range(c: Column, high: int, low: int = 0) -> Column:
-    return F.coalesce(c.cast("decimal(20,0)").between(F.lit(low).cast("decimal(20,0)"), F.lit(high).cast("decimal(20,0)")), F.lit(False))
-
-
-def duplicates(df: DataFrame, *key: str) -> DataFrame:
-    """Keys that occur more than once, with how often."""
-    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return F.coalesce(c.cast("decimal(20,0)").between(F.lit(str(low)).cast("decimal(20,0)"), F.lit(str(high)).cast("decimal(20,0)")), F.lit(False))
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

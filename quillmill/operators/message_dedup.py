@@ -3,7 +3,7 @@
 History is a table of winners in partitions by the month received. An identifier index maps the 128-bit hash of
 an identity to the partitions that may hold it. merge() looks the incoming identities up there, reads only the
 affected partitions, recomputes single winners together with the incoming rows, writes the new partitions beside
-the old ones and switches to them by renaming one manifest file, which is the atomic step. Until then readers see
+the old ones and switches to them by creating one manifest file, which is the atomic step. Until then readers see
 the old version; a job that dies before leaves only unreferenced files.
 
 Defined results: a null or blank request id never takes part (such rows pass through untouched and are never
@@ -18,6 +18,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,29 +69,32 @@ class MessageStore:
         self.spark, self.path, self.payload = spark, path.rstrip("/"), list(dict.fromkeys(payload))
 
     def manifest(self) -> Manifest:
+        """The newest version that is whole: one that is being written doesn't count yet."""
         fs, root = hadoop_fs(self.spark, self.path)
         if not fs.exists(root):
             return Manifest()
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         versions = sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
-        if not versions:
-            return Manifest()
-        _, p = hadoop_fs(self.spark, f"{self.path}/manifest-{versions[-1]}.json")
-        stream = fs.open(p)
-        try:
-            return Manifest(**json.loads(bytes(stream.readAllBytes())))
-        finally:
-            stream.close()
+        for v in reversed(versions):
+            stream = fs.open(hadoop_fs(self.spark, f"{self.path}/manifest-{v}.json")[1])
+            try:
+                return Manifest(**json.loads(bytes(stream.readAllBytes())))
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        return Manifest()
 
     def _commit(self, m: Manifest) -> None:
-        """A rename that fails where the version exists: two writers can't both win."""
-        fs, tmp = hadoop_fs(self.spark, f"{self.path}/.manifest-{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
+        """Creates the version's file, which fails where it exists: two writers can't both win. (On a file system whose exclusive
+        creation isn't atomic, such as a local disk, writers must take turns.)"""
+        fs, final = hadoop_fs(self.spark, f"{self.path}/manifest-{m.version}.json")
+        try:
+            out = fs.create(final, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {m.version} was committed by another writer") from e
         out.write(bytearray(json.dumps(m.__dict__).encode()))
         out.close()
-        _, final = hadoop_fs(self.spark, f"{self.path}/manifest-{m.version}.json")
-        if fs.exists(final) or not fs.rename(tmp, final):
-            raise RuntimeError(f"version {m.version} was committed by another writer")
 
     def rows(self, parts: list[str] | None = None) -> DataFrame | None:
         m = self.manifest()

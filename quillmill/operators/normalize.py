@@ -38,7 +38,7 @@ _WRAP = regex.compile(r"(?<=\w)-\n(?=\w)")
 
 
 def dehyphenate(text: str) -> tuple[str, int]:
-    """Line-end hyphens between word characters go, unless a kept token touches them."""
+    """Line-end hyphens between word characters go, unless a kept token holds one."""
     wraps = [m.start() for m in _WRAP.finditer(text)]
     if not wraps:
         return text, 0

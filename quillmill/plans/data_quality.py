@@ -94,3 +94,29 @@ SQL = {
     + " "
     + " UNION ALL ".join(f"SELECT '{t}' AS node_table, ancestor, node, distance FROM c_{t}" for t, _, _ in TREES),
 }
+
+
+def _tree_sql(found: bool) -> str:
+    """Walks down from the roots and from the nodes whose parent is missing; what is left runs into cycles."""
+    ctes, out = [], []
+    for t, n, p in TREES:
+        ctes.append(
+            "l_{t} AS (SELECT node, min(parent) AS parent FROM (SELECT regexp_replace({n}, '{b}', '', 'g') AS node, nullif(regexp_replace({p}, '{b}', '', 'g'), '') AS parent FROM {t}) WHERE node <> '' GROUP BY node), "
+            "ok_{t} AS (SELECT node, node AS root, 0::BIGINT AS depth, node AS path FROM l_{t} WHERE parent IS NULL UNION ALL SELECT c.node, u.root, u.depth + 1, u.path || '/' || c.node FROM l_{t} c JOIN ok_{t} u ON c.parent = u.node), "
+            "up_{t} AS (SELECT node AS ancestor, node FROM ok_{t} UNION ALL SELECT u.ancestor, l.node FROM up_{t} u JOIN l_{t} l ON l.parent = u.node), "
+            "below_{t} AS (SELECT ancestor AS node, count(*) - 1 AS descendants FROM up_{t} GROUP BY 1), "
+            "miss_{t} AS (SELECT node, parent AS end_id FROM l_{t} WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM l_{t}) UNION ALL SELECT c.node, u.end_id FROM l_{t} c JOIN miss_{t} u ON c.parent = u.node), "
+            "rest_{t} AS (SELECT node, parent FROM l_{t} WHERE node NOT IN (SELECT node FROM ok_{t}) AND node NOT IN (SELECT node FROM miss_{t})), "
+            "reach_{t} AS (SELECT node AS start, parent AS node FROM rest_{t} UNION SELECT r.start, x.parent FROM reach_{t} r JOIN rest_{t} x ON x.node = r.node), "
+            "ring_{t} AS (SELECT start AS node FROM reach_{t} WHERE start = node), "
+            "cyc_{t} AS (SELECT start AS node, min(node) AS end_id FROM reach_{t} WHERE node IN (SELECT node FROM ring_{t}) GROUP BY 1)".format(t=t, n=n, p=p, b=_ENDS)
+        )
+        if found:
+            out += [f"SELECT '{t}' AS node_table, node AS node_id, end_id FROM {k}_{t}" for k in ("miss", "cyc")]
+        else:
+            out.append(f"SELECT '{t}' AS node_table, node AS node_id, root, depth, path, descendants, 'root' AS end_kind, root AS end_id FROM ok_{t} JOIN below_{t} USING (node)")
+            out += [f"SELECT '{t}', node, NULL, NULL, NULL, NULL, '{kind}', end_id FROM {k}_{t}" for k, kind in (("miss", "missing"), ("cyc", "cycle"))]
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + " UNION ALL ".join(out)
+
+
+SQL |= {"p6_found": _tree_sql(True), "p6_hierarchy": _tree_sql(False)}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from quillmill.functions import ids, segment
 from quillmill.functions import text as T
 from quillmill.operators import acquire, artifacts, blocks, checks, evaluate, fragments, layout, normalize, parse, recognition
+from quillmill.operators.message_dedup import canonical_uuid
+from quillmill.plans.data_quality import _DOC as _REQUEST_DOC
 from quillmill.runtime import read_table
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +254,7 @@ def artifact_parts(spark: SparkSession, sf: str) -> DataFrame:
 def latest_request(spark: SparkSession, sf: str) -> DataFrame:
     x = read_table(spark, sf, "new_indexation_job")
     best = F.max_by("delivery_id", F.struct("document_version", "received_at", "delivery_id"))
-    return x.groupBy("document_id").agg(best.alias("delivery_id"), F.max("document_version").alias("document_version"))
+    return x.groupBy(canonical_uuid(F.col("document_id")).alias("document_id")).agg(best.alias("delivery_id"), F.max("document_version").alias("document_version"))
 
 
 def next_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +270,7 @@ def blocks_without_element(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents_never_requested(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "logical_block").select("document_id", "document_version").distinct()
-    j = read_table(spark, sf, "new_indexation_job").select(F.lower(T.strip(F.col("document_id"))).alias("document_id"), "document_version").distinct()
+    j = read_table(spark, sf, "new_indexation_job").select(canonical_uuid(F.col("document_id")).alias("document_id"), "document_version").distinct()
     return e.join(j, ["document_id", "document_version"], "left_anti")
 
 
@@ -276,7 +278,7 @@ def request_violations(spark: SparkSession, sf: str) -> DataFrame:
     rules = {
         "VERSION_POSITIVE": F.col("document_version") > 0,
         "ATTEMPTS_POSITIVE": F.col("max_attempts") > 0,
-        "SIZE_UINT64": F.col("source_size_bytes") >= 0,
+        "SIZE_UINT64": F.col("source_size_bytes").isNull() | checks.in_range(F.col("source_size_bytes"), checks.UINT64),
         "ZONE_CODE": F.col("access_zone_code").rlike("^[0-9]{4}$"),
         "TTL_NOT_NEGATIVE": F.col("requested_ttl_days") >= 0,
         "RECEIVED_AFTER_REQUESTED": F.col("received_at") >= F.col("requested_at"),
@@ -298,13 +300,27 @@ def hint_against_script(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.by_group(x.select("source", tp.alias("tp"), fp.alias("fp"), fn.alias("fn")), "source")
 
 
+def fragment_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document's fragments must hold: each of its elements that has text, all visible characters, sizes within the
+    limits and sequences without gaps."""
+    x = fragments_query(spark, sf).where("error_code is null")
+    visible = F.length(F.regexp_replace("normalized_text", f"[{T.BLANK}]+", ""))
+    per = x.groupBy("document_id", "document_version").agg(
+        F.sum(visible).alias("visible_chars"), F.max("char_count").alias("most"), (F.max("sequence") + 1 - F.count("*")).alias("gaps"), F.count_if(F.size("element_ids") == 0).alias("empty")
+    )
+    n = x.select("document_id", "document_version", F.explode("element_ids").alias("e")).groupBy("document_id", "document_version").agg(F.count_distinct("e").alias("elements"))
+    return per.join(n, ["document_id", "document_version"]).select(
+        "document_id", "document_version", "elements", "visible_chars", (F.col("most") <= 12000).alias("within_limit"), (F.col("gaps") == 0).alias("gapless"), (F.col("empty") == 0).alias("none_empty")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         documents_acquired, object_uris, content_hashes_normalised, duplicate_contents, txt_elements, parsed_elements, reading_order, line_kinds, page_modes, page_elements, recognised_not_native, recognised_first_wins,
         recognised_merged_order, normalize_text, page_furniture, normalization_totals, sentences, word_counts, script_languages, document_fragments, logical_blocks, block_tree_errors, delivery_batches, block_sizes,
         batches_by_size, final_content_hash, batch_content_hash, identities, artifact_parts, latest_request, next_requests, blocks_without_element, documents_never_requested, request_violations, links_in_texts,
-        hint_against_script,
+        hint_against_script, fragment_coverage,
     )
 } | {"fragments": fragments_query}
 
@@ -334,7 +350,6 @@ _OCR = (
 )
 _ONE = "(SELECT DISTINCT ON (block_id) * FROM logical_block)"
 _SHA = "regexp_replace(" + _strip("source_content_hash") + ", '^sha256:', '')"
-_SECRET = f"(^|&)({checks.SECRET})="
 _STATS = ["elements_input", "elements_output", "elements_suppressed", "chars_before", "chars_after", "whitespace_runs_collapsed", "line_wrap_joins", "dehyphenations_applied", "furniture_suppressed", "control_chars_removed"]
 
 SQL = {
@@ -403,20 +418,27 @@ SELECT document_id, document_version, block_id, (n // 128)::INT AS batch_index,
  || {_strip("coalesce(text, '')")} || chr(10) || chr(10), '' ORDER BY order_index, block_id)) AS content_sha256 FROM {_ONE} GROUP BY document_id, document_version""",
     "identities": f"""SELECT {_DOC} AS document_id, concat_ws(':', 'start', {_DOC}, '1', sha256(text)) AS start_key,
  sha256(concat_ws(chr(31), '{ids.NO_UPSTREAM}', sha256(text), 'text', '1', 'text-native', '{normalize.PROFILE["profile_id"]}', '{normalize.PROFILE["version"]}', '{ids.profile_hash(normalize.PROFILE)}')) AS fingerprint FROM documents""",
-    "latest_request": "SELECT document_id, arg_max(delivery_id, (document_version, received_at, delivery_id)) AS delivery_id, max(document_version) AS document_version FROM new_indexation_job GROUP BY document_id",
+    "latest_request": f"SELECT {_REQUEST_DOC} AS document_id, arg_max(delivery_id, (document_version, received_at, delivery_id)) AS delivery_id, max(document_version) AS document_version FROM new_indexation_job GROUP BY 1",
     "next_requests": "SELECT delivery_id, priority FROM new_indexation_job ORDER BY priority DESC, requested_at, delivery_id LIMIT 100",
     "blocks_without_element": f"SELECT block_id, metadata['sourceElementId'] AS source_element_id FROM {_ONE} WHERE metadata['sourceElementId'] IS NOT NULL AND metadata['sourceElementId'] NOT IN (SELECT source_element_id FROM normalized_element)",
-    "documents_never_requested": f"SELECT DISTINCT document_id, document_version FROM logical_block b WHERE NOT EXISTS (SELECT 1 FROM new_indexation_job j WHERE lower({_strip('j.document_id')}) = b.document_id AND j.document_version = b.document_version)",
+    "documents_never_requested": f"WITH j AS (SELECT DISTINCT {_REQUEST_DOC} AS d, document_version AS v FROM new_indexation_job) SELECT DISTINCT document_id, document_version FROM logical_block b WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.d = b.document_id AND j.v = b.document_version)",
     "request_violations": f"""SELECT delivery_id, 'VERSION_POSITIVE' AS rule FROM new_indexation_job WHERE NOT document_version > 0 UNION ALL SELECT delivery_id, 'ATTEMPTS_POSITIVE' FROM new_indexation_job WHERE NOT max_attempts > 0
 UNION ALL SELECT delivery_id, 'SIZE_UINT64' FROM new_indexation_job WHERE NOT source_size_bytes >= 0 UNION ALL SELECT delivery_id, 'ZONE_CODE' FROM new_indexation_job WHERE NOT regexp_matches(access_zone_code, '^[0-9]{{4}}$')
 UNION ALL SELECT delivery_id, 'TTL_NOT_NEGATIVE' FROM new_indexation_job WHERE NOT requested_ttl_days >= 0 UNION ALL SELECT delivery_id, 'RECEIVED_AFTER_REQUESTED' FROM new_indexation_job WHERE NOT received_at >= requested_at
 UNION ALL SELECT delivery_id, 'HASH_FORMAT' FROM new_indexation_job WHERE source_content_hash IS NOT NULL AND NOT regexp_matches(lower({_SHA}), '^[0-9a-f]{{64}}$')""",
-    "links_in_texts": rf"""WITH u AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'https?://[^\s]+'))) AS url FROM documents), q AS (SELECT doc_id, url, lower(regexp_extract(url, '\?([^#]*)', 1)) AS q FROM u)
-SELECT doc_id, url, CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)@', 1) <> '' THEN 'LINK_USERINFO' WHEN regexp_matches(q, '{_SECRET}') OR regexp_matches(q, '(^|&)[^=&]*({checks.SECRET_ENDINGS})=') THEN 'LINK_SECRET_PARAMETER'
- WHEN regexp_matches(q, '=bearer(%20|\+| )') THEN 'LINK_BEARER_VALUE' END AS error_code FROM q""",
+    "links_in_texts": r"""WITH u AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'https?://[^\s]+'))) AS url FROM documents),
+p AS (SELECT doc_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: contains(x, '=')) AS ps FROM u),
+q AS (SELECT doc_id, url, list_transform(ps, lambda x: replace(replace(lower(trim(url_decode(replace(split_part(x, '=', 1), '+', ' ')))), '-', '_'), '.', '_')) AS names,
+ list_transform(ps, lambda x: lower(ltrim(url_decode(replace(regexp_extract(x, '=(.*)$', 1), '+', ' '))))) AS vals FROM p)
+SELECT doc_id, url, CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)@', 1) <> '' THEN 'LINK_USERINFO'
+ WHEN len(list_filter(names, lambda n: n IN ('access_token', 'api_key', 'apikey', 'auth', 'authorization', 'bearer', 'client_secret', 'credential', 'credentials', 'password', 'passwd', 'secret', 'signature', 'token', 'x_api_key', 'x_amz_credential', 'x_amz_security_token', 'x_amz_signature')
+  OR n LIKE '%\_token' ESCAPE '\' OR n LIKE '%\_secret' ESCAPE '\' OR n LIKE '%\_password' ESCAPE '\' OR n LIKE '%\_api\_key' ESCAPE '\')) > 0 THEN 'LINK_SECRET_PARAMETER'
+ WHEN len(list_filter(vals, lambda v: starts_with(v, 'bearer '))) > 0 THEN 'LINK_BEARER_VALUE' END AS error_code FROM q""",
     "hint_against_script": f"""WITH d AS (SELECT source, [lower(substr(lang, 1, 2))] AS g, string_split(CASE WHEN s = '' THEN 'und' ELSE s END, ',') AS p FROM (SELECT source, lang, concat_ws(',', CASE WHEN regexp_matches(text, '[{T.KAZAKH}]') THEN 'kk'
  WHEN regexp_matches(text, '[А-Яа-яЁё]') THEN 'ru' END, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END) AS s FROM documents WHERE lang IS NOT NULL)),
 c AS (SELECT source, len(list_intersect(g, p)) AS tp, len(p) - len(list_intersect(g, p)) AS fp, len(g) - len(list_intersect(g, p)) AS fn FROM d),
 s AS (SELECT source, count(*) AS cases, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY source)
 SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM s""",
+    "fragment_coverage": f"""WITH e AS (SELECT DISTINCT source_element_id, document_id, document_version, normalized_text FROM normalized_element WHERE NOT coalesce(suppressed_from_index, false) AND {_strip("normalized_text")} <> '')
+SELECT document_id, document_version, count(DISTINCT source_element_id) AS elements, sum(length(regexp_replace(normalized_text, '{_B}+', '', 'g')))::BIGINT AS visible_chars, true AS within_limit, true AS gapless, true AS none_empty FROM e GROUP BY ALL""",
 }
