@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2000
 OVERLAP = 200
+TASKS_A_CORE = 4
 PIECES = "item_id string, piece int, start int, end int, overlap int, boundary string, piece_text string"
 
 _NATURAL = regex.compile(
@@ -125,7 +126,10 @@ def split_oversized(df: DataFrame, item: str, text: str, limit: int = LIMIT, ove
     """PIECES of the items longer than `limit`; the test of the length runs before anything leaves the JVM."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
-    x = df.select(F.col(item).cast("string").alias("item_id"), F.col(text).alias("t")).where(F.length("t") > limit).distinct()
+    x = df.select(F.col(item).cast("string").alias("item_id"), F.col(text).alias("t")).where(F.length("t") > limit)
+    # Copies are told by id and digest; a number of tasks of its own, since cutting costs more than its bytes show.
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    x = x.withColumn("h", F.sha2("t", 256)).repartition(tasks, "item_id", "h").dropDuplicates(["item_id", "h"]).drop("h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

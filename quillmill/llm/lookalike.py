@@ -238,3 +238,13 @@ def pairs_of(looks: DataFrame) -> DataFrame:
     a = y.select("look", F.col("id").alias("element_id_a"), F.col("form").alias("form_a"))
     b = y.select("look", F.col("id").alias("element_id_b"), F.col("form").alias("form_b"))
     return a.join(b, "look").where("form_a <> form_b and element_id_a < element_id_b").select("element_id_a", "element_id_b").distinct()
+
+
+def classes_of(looks: DataFrame) -> DataFrame:
+    """id, class_id (digest of the look), links: of each row that looks like another one written with other characters, how many
+    such rows there are. One row for each row: what pairs_of() says, without growing with the square of a class."""
+    x = looks.distinct()
+    forms = x.groupBy("look", "form").agg(F.count("*").alias("same"))
+    total = forms.groupBy("look").agg(F.sum("same").alias("all"), F.count("*").alias("forms")).where("forms > 1")
+    links = forms.join(total, "look").select("look", "form", (F.col("all") - F.col("same")).alias("links"))
+    return x.join(links, ["look", "form"]).select("id", F.lower(F.hex("look")).alias("class_id"), "links")

@@ -101,14 +101,15 @@ def _split_breaks(breaks, t: str) -> list[str]:
 
 
 def count_tokens(df: DataFrame, item: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """item_id, tokens."""
+    """item_id, tokens, digest (of the text, which tells rows of one id apart)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = token_counter(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "tokens": [count(t) for t in b["t"]]})
+            yield pd.DataFrame({"item_id": b["item_id"], "tokens": [count(t) for t in b["t"]], "digest": b["h"]})
 
-    return df.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("t")).mapInPandas(run, "item_id long, tokens long")
+    x = df.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("t"), F.sha2(text, 256).alias("h"))
+    return x.mapInPandas(run, "item_id long, tokens long, digest string")
 
 
 def cost(n: np.ndarray, h: int, s: int, capacity: int) -> float:
@@ -159,9 +160,10 @@ def pack_shard(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(counted: DataFrame, items: int, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """counted: item_id, tokens; items: how many rows it has about, which sets the number of shards. Gives PACKED."""
+    """counted: item_id, tokens and, if rows of one id are to be told apart, digest; items: how many rows it has about, which sets the number of shards. Gives PACKED."""
     shards = max(1, -(-items // shard_items))
-    x = counted.where("tokens > 0").distinct()
+    x = counted if "digest" in counted.columns else counted.withColumn("digest", F.lit(""))
+    x = x.where("tokens > 0").select("item_id", "tokens", "digest").distinct()
     x = x.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / capacity).cast("int") - 1)))
     x = x.select(
         "item_id",
@@ -169,10 +171,11 @@ def pack(counted: DataFrame, items: int, capacity: int = CAPACITY, shard_items:
         (F.col("piece").cast("long") * capacity).alias("token_start"),
         F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("int").alias("tokens"),
         F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)).cast("int").alias("shard"),
+        "digest",
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item_id", "piece"], kind="stable")
+        pdf = pdf.sort_values(["item_id", "digest", "piece"], kind="stable").drop(columns="digest")
         return pdf.assign(container=pdf["shard"].to_numpy(np.int64) * (1 << 40) + pack_shard(pdf["tokens"].to_numpy(), capacity))
 
     return x.groupBy("shard").applyInPandas(run, PACKED)

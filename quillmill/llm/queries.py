@@ -39,6 +39,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.pairs_of(written(lookalike.looks(x, "source_element_id", "original_text", table), "looks"))
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """p2_found as membership in classes, with the number of links of each element."""
+    x = _elements(spark, sf, "original_text")
+    table = lookalike.learn(x, "original_text")
+    c = lookalike.classes_of(written(lookalike.looks(x, "source_element_id", "original_text", table), "looks"))
+    return c.withColumnRenamed("id", "source_element_id")
+
+
 def p2_normalized(spark: SparkSession, sf: str) -> DataFrame:
     x = _elements(spark, sf, "original_text", "normalized_text")
     table = lookalike.learn(x, "original_text", "normalized_text")
@@ -134,5 +142,5 @@ def p10_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_segments, p2_found, p2_normalized, p4_found, p4_sentences, p5_found, p5_pieces, p7_found, p7_paragraphs, p8_packed, p8_fill, p9_found, p9_spans, p10_found, p10_rates, p10_limits)
+    for f in (p1_found, p1_segments, p2_found, p2_classes, p2_normalized, p4_found, p4_sentences, p5_found, p5_pieces, p7_found, p7_paragraphs, p8_packed, p8_fill, p9_found, p9_spans, p10_found, p10_rates, p10_limits)
 }

@@ -45,3 +45,19 @@ def test_empty(spark):
     x = spark.createDataFrame([], "source_element_id string, original_text string")
     table = K.learn(x, "original_text")
     assert K.pairs_of(K.looks(x, "source_element_id", "original_text", table)).count() == 0
+
+
+def test_classes_say_what_pairs_say(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    forms = ["one two", "one\u00a0two", "one  two", "оne two", "three", "three", "thr\u200bee", "four", None, ""]
+    x = spark.createDataFrame([(f"e{i:02}", forms[i % len(forms)], "z") for i in range(40)], "source_element_id string, original_text string, look string")
+    looks = K.looks(x, "source_element_id", "original_text", K.learn(x, "original_text"))
+    pairs = [tuple(r) for r in K.pairs_of(looks).collect()]
+    got = K.classes_of(looks).collect()
+    assert {r.id: r.links for r in got} == Counter(e for p in pairs for e in p) and pairs
+    cls = {r.id: r.class_id for r in got}
+    assert all(cls[a] == cls[b] for a, b in pairs) and len(set(cls.values())) == 2
+    assert K.classes_of(looks.where(F.lit(False))).count() == 0

@@ -72,3 +72,9 @@ def test_many_small_items_fill_well():
     sizes = np.minimum(2048, r.lognormal(5.8, 0.7, 20_000).astype(int) + 1)
     n = P.pack_shard(sizes, 2048).max() + 1
     assert sizes.sum() / (n * 2048) > 0.99
+
+
+def test_two_texts_of_one_id_and_size_are_both_packed(spark):
+    x = spark.createDataFrame([(1, "hello world"), (1, "world hello"), (1, "hello world")], "doc_id long, text string")
+    got = P.pack(P.count_tokens(x, "doc_id", "text"), 3).collect()
+    assert len(got) == 2 and {r.item_id for r in got} == {1}
