@@ -35,6 +35,13 @@ SAME_SHAPE = (
     "aаα cсϲ dԁ eе hһ iіι jјϳ oоο pрρ qԛ sѕ uυ vνѵ wԝ xх yу кκ ΓГ ПΠ ЛΛ ФΦ "
     "ӘƏ əә ӨƟ өɵ ӠƷ ЇÏΪ їï ЁËЀ̈"
 )
+#: Letters of other scripts with the shape of the first of each group, as the Unicode table of confusable
+#: characters has them.
+SAME_SHAPE_ELSEWHERE = {
+    "Armenian": "oօ hհ uս nո gց qզ OՕ SՏ UՍ",
+    "Cherokee": "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᎡ SᏚ TᎢ VᏙ WᎳ ZᏃ",
+    "Coptic": "BⲂ CⲤ HⲎ IⲒ KⲔ MⲘ NⲚ OⲞ PⲢ TⲦ XⲬ YⲨ cⲥ oⲟ pⲣ",
+}
 #: Ordinary hyphens, and marks that only separate letters.
 SAME_MARK = (("-", "\u2010"), ("-", "\u2011"), ("\r\n", "\n"), ("\u2028", "\n"), ("\u0085", "\n"))
 #: Characters outside the category Cf that show nothing.
@@ -89,7 +96,7 @@ def relations(chars: Iterable[str], fold_case: bool = False) -> Iterator[tuple[s
         if fold_case and (low := ch.casefold()) != ch:
             yield ch, low
     yield from SAME_MARK
-    for group in SAME_SHAPE.split():
+    for group in " ".join((SAME_SHAPE, *SAME_SHAPE_ELSEWHERE.values())).split():
         g = regex.findall(r"\X", group)
         yield from ((g[0], x) for x in g[1:])
 

@@ -20,6 +20,13 @@ def test_visible_differences_stay(a, b):
     assert R(a) != R(b)
 
 
+def test_letters_of_other_scripts():
+    for a, b in (("ᎪᏢᏢ", "APP"), ("ⲞK", "OK"), ("հօս", "hou"), ("Ꭺ", "А")):
+        assert R(a) == R(b)
+    for group in " ".join(K.SAME_SHAPE_ELSEWHERE.values()).split():
+        assert len(group) == 2 and group[0].isascii() and group[0].isupper() == group[1].isupper() or "CHEROKEE" in __import__("unicodedata").name(group[1])
+
+
 def test_null_and_rewriting_again():
     assert R(None) is None and R("") == ""
     for a, b in SAME:
