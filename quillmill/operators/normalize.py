@@ -89,6 +89,21 @@ def normalized(df: DataFrame, text: str = "original_text", kind: str = "element_
     ).drop("_c", "_s", "_l", "_j")
 
 
+def normalized_grid(grid: Column) -> Column:
+    """rows (cells normalised, lines kept), row_count, column_count and invalid (rows that are null, left out) of a table's cells.
+    A null cell is empty. The cells leave the JVM together, between separators that no cell has after controls are stripped."""
+    rows = F.filter(grid, lambda r: r.isNotNull())
+    plain = lambda c: T.strip_controls(T.unify_newlines(F.coalesce(c, F.lit(""))))
+    joined = T.nfc(F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, plain), "\x1f")), "\x1e"))
+    cell = lambda c: T.compact_lines(T.stripped_lines(T.plain_blanks(c)))
+    back = F.transform(F.split(joined, "\x1e"), lambda r: F.transform(F.split(r, "\x1f"), cell))
+    none = F.array().cast("array<string>")
+    out = F.when(F.size(rows) == 0, F.array().cast("array<array<string>>")).otherwise(F.zip_with(rows, back, lambda r, b: F.when(F.size(r) == 0, none).otherwise(b)))
+    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
+    made = F.struct(out.alias("rows"), F.size(rows).alias("row_count"), width.alias("column_count"), (F.size(grid) - F.size(rows)).alias("invalid"))
+    return F.when(grid.isNotNull(), made)
+
+
 def furniture(df: DataFrame, min_pages: int = 3, fraction: float = 0.60, edge: float = 0.08) -> DataFrame:
     """source_element_id of repeated page furniture. Pages count if they have any eligible element; all edge occurrences
     of a text on enough pages are suppressed, headings never. Two aggregations with partial sums, no group is gathered."""

@@ -300,6 +300,42 @@ def hint_against_script(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.by_group(x.select("source", tp.alias("tp"), fp.alias("fp"), fn.alias("fn")), "source")
 
 
+def table_grids(spark: SparkSession, sf: str) -> DataFrame:
+    x = _elements(spark, sf, "element_type", "original_text").where("element_type = 'TABLE' and original_text is not null")
+    g = normalize.normalized_grid(F.transform(F.split("original_text", "\n"), lambda line: F.split(line, "\\|")))
+    x = x.select("source_element_id", g.alias("g"))
+    return x.select("source_element_id", "g.row_count", "g.column_count", F.array_join(F.flatten("g.rows"), "\x1f").alias("cells"))
+
+
+def _read(x: DataFrame, fmt: str) -> DataFrame:
+    """x: document_id, content (text). Elements as the reader of the format gives them."""
+    x = x.select("document_id", F.lit(1).cast("long").alias("document_version"), F.sha2("content", 256).alias("sha256"), F.lit(fmt).alias("detected_format"), F.encode("content", "UTF-8").alias("content"))
+    return parse.elements(x).select("document_id", "order_index", "element_type", "locator", "text", "error_code")
+
+
+def _one_line(c: str):
+    return F.trim(F.regexp_replace(F.col(c), f"[{T.BLANK}]+", " "))
+
+
+def html_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of HTML, read back."""
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<!doctype html><html><head><style>p {}</style></head><body><h1>"), safe(F.col("source")), F.lit("</h1><p>Text: "), safe(_one_line("text")), F.lit("</p><script>x()</script></body></html>"))
+    return _read(_docs(spark, sf).withColumn("content", page), "HTML")
+
+
+def markdown_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Markdown, read back."""
+    page = F.concat(F.lit("# "), F.col("source"), F.lit("\n\nText: "), _one_line("text"), F.lit("\n\n- "), F.col("document_id"), F.lit("\n"))
+    return _read(_docs(spark, sf).withColumn("content", page), "MARKDOWN")
+
+
+def csv_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as CSV files with quoted commas, read back."""
+    x = read_table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("document_id"), F.concat(F.lit('key,name,nation\n'), F.col("s_suppkey").cast("string"), F.lit(',"'), "s_name", F.lit(', Ltd",'), F.col("s_nationkey").cast("string"), F.lit("\n")).alias("content"))
+    return _read(x, "CSV")
+
+
 def fragment_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """What every document's fragments must hold: each of its elements that has text, all visible characters, sizes within the
     limits and sequences without gaps."""
@@ -320,7 +356,7 @@ QUERIES = {
         documents_acquired, object_uris, content_hashes_normalised, duplicate_contents, txt_elements, parsed_elements, reading_order, line_kinds, page_modes, page_elements, recognised_not_native, recognised_first_wins,
         recognised_merged_order, normalize_text, page_furniture, normalization_totals, sentences, word_counts, script_languages, document_fragments, logical_blocks, block_tree_errors, delivery_batches, block_sizes,
         batches_by_size, final_content_hash, batch_content_hash, identities, artifact_parts, latest_request, next_requests, blocks_without_element, documents_never_requested, request_violations, links_in_texts,
-        hint_against_script, fragment_coverage,
+        hint_against_script, fragment_coverage, table_grids, html_elements, markdown_elements, csv_elements,
     )
 } | {"fragments": fragments_query}
 
@@ -441,4 +477,15 @@ s AS (SELECT source, count(*) AS cases, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT A
 SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM s""",
     "fragment_coverage": f"""WITH e AS (SELECT DISTINCT source_element_id, document_id, document_version, normalized_text FROM normalized_element WHERE NOT coalesce(suppressed_from_index, false) AND {_strip("normalized_text")} <> '')
 SELECT document_id, document_version, count(DISTINCT source_element_id) AS elements, sum(length(regexp_replace(normalized_text, '{_B}+', '', 'g')))::BIGINT AS visible_chars, true AS within_limit, true AS gapless, true AS none_empty FROM e GROUP BY ALL""",
+    "table_grids": f"""WITH e AS (SELECT DISTINCT source_element_id, original_text FROM normalized_element WHERE element_type = 'TABLE' AND original_text IS NOT NULL),
+r AS (SELECT source_element_id, list_transform(string_split({_NL.format(t="original_text")}, chr(10)), lambda l: list_transform(string_split(l, '|'), lambda c: {_strip(r"regexp_replace(replace(replace(nfc_normalize(c), chr(160), ' '), chr(173), ''), '[\t\x0b\f ]+', ' ', 'g')")})) AS rows FROM e)
+SELECT source_element_id, len(rows)::INT AS row_count, list_max(list_transform(rows, lambda x: len(x)))::INT AS column_count, array_to_string(flatten(rows), chr(31)) AS cells FROM r""",
+    "html_elements": f"""WITH d AS (SELECT {_DOC} AS document_id, source, trim(regexp_replace(text, '{_B}+', ' ', 'g')) AS t FROM documents)
+SELECT document_id, 0 AS order_index, 'HEADING' AS element_type, '/html[1]/body[1]/h1[1]' AS locator, source AS text, NULL::VARCHAR AS error_code FROM d UNION ALL SELECT document_id, 1, 'PARAGRAPH', '/html[1]/body[1]/p[1]', 'Text: ' || t, NULL FROM d""",
+    "markdown_elements": f"""WITH d AS (SELECT {_DOC} AS document_id, source, trim(regexp_replace(text, '{_B}+', ' ', 'g')) AS t FROM documents)
+SELECT document_id, 0 AS order_index, 'HEADING' AS element_type, 'heading-line:1' AS locator, source AS text, NULL::VARCHAR AS error_code FROM d UNION ALL SELECT document_id, 1, 'PARAGRAPH', 'paragraph-ending-line:4', 'Text: ' || t, NULL FROM d
+UNION ALL SELECT document_id, 2, 'LIST_ITEM', 'list-line:5', document_id, NULL FROM d""",
+    "csv_elements": """WITH s AS (SELECT s_suppkey::VARCHAR AS k, s_name, s_nationkey::VARCHAR AS n FROM supplier)
+SELECT k AS document_id, 0 AS order_index, 'TABLE' AS element_type, 'row:1' AS locator, 'key: key; name: name; nation: nation' AS text, NULL::VARCHAR AS error_code FROM s
+UNION ALL SELECT k, 1, 'TABLE', 'row:2', 'key: ' || k || '; name: ' || s_name || ', Ltd; nation: ' || n, NULL FROM s""",
 }

@@ -85,3 +85,10 @@ def test_kept_tokens(name, token):
     import regex
 
     assert regex.fullmatch(normalize.KEPT_TOKENS[name], token) and not regex.fullmatch(normalize.KEPT_TOKENS[name], "register")
+
+
+def test_grids(spark):
+    rows = [([["a\u00a0 b", None], None, [], ["e\u0301", "x\x07\n\n\n y "]],), ([],), (None,)]
+    got = say(spark, "g array<array<string>>", rows, normalize.normalized_grid(F.col("g")))
+    assert (got[0].rows, got[0].row_count, got[0].column_count, got[0].invalid) == ([["a b", ""], [], ["\u00e9", "x\n\ny"]], 3, 2, 1)
+    assert (got[1].rows, got[1].row_count, got[1].column_count, got[1].invalid) == ([], 0, 0, 0) and got[2] is None
