@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,12 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quillmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_made: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes the folders of fresh_dir() made so far; results that were read from them are gone. Gives their number."""
+    n = 0
+    while _made:
+        fs, p = hadoop_fs(spark, _made.pop())
+        n += bool(fs.delete(p, True))
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -23,3 +23,13 @@ def test_batches_are_idempotent(spark):
     for _ in range(2):
         each_batch(spark, f"{root}/in", "id long", f"{root}/out", f"{root}/cp", lambda d: d.selectExpr("id * 2 as x")).awaitTermination()
     assert sorted(r.x for r in spark.read.parquet(f"{root}/out").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_sweep_removes_what_was_written(spark):
+    from quillmill import runtime
+
+    runtime.sweep(spark)
+    x = runtime.written(spark.range(5), "x")
+    path = x.inputFiles()[0].rpartition("/")[0]
+    fs, p = runtime.hadoop_fs(spark, path)
+    assert x.count() == 5 and fs.exists(p) and runtime.sweep(spark) == 1 and not fs.exists(p) and runtime.sweep(spark) == 0
