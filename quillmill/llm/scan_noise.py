@@ -449,14 +449,14 @@ def repaired(t: str, kind: str, scanned: bool, drop: Iterable[int], words: dict[
         return m[1] + m[2] + m[3]
 
     text = _HYPHENED.sub(join, text)
-    fixed, out = 0, []
-    for w in text.split():
-        f = next((f for f in forms(w) if words.get(f)), None)
-        if f:
-            fixed += 1
-            v, core = words[f], _TRIM.sub("", w)
-            read = f"{core}," if f[-1] == "," else core
-            v = v.upper() if core.isupper() and len(core) > 1 else v[0].upper() + v[1:] if core[0].isupper() else v
-            w = w.replace(read, v, 1)
-        out.append(w)
+    fixed, out = 0, text.split()
+    if any(words.values()):  # few elements have a misread word
+        for k, w in enumerate(out):
+            f = next((f for f in forms(w) if words.get(f)), None)
+            if f:
+                fixed += 1
+                v, core = words[f], _TRIM.sub("", w)
+                read = f"{core}," if f[-1] == "," else core
+                v = v.upper() if core.isupper() and len(core) > 1 else v[0].upper() + v[1:] if core[0].isupper() else v
+                out[k] = w.replace(read, v, 1)
     return " ".join(out), joins, fixed, len(gone)
